@@ -50,8 +50,9 @@ class PerfectHash:
         for key in ranks:
             h = xxhash.xxh3_64_intdigest(key)
             buckets[h % m].append((h, key))
-        for b in sorted(range(m), key=lambda i: -len(buckets[i])):
-            if not buckets[b]:
+        order = sorted(range(m), key=lambda i: -len(buckets[i]))
+        for b in order:
+            if len(buckets[b]) < 2:
                 break
             d = 0
             while True:
@@ -63,9 +64,20 @@ class PerfectHash:
             for s, (_, key) in zip(slots, buckets[b], strict=True):
                 self.keys[s] = key
                 self.ranks[s] = ranks[key]
+        free = (s for s in range(n) if self.keys[s] is None)
+        for b in order:
+            if len(buckets[b]) == 1:  # a lone key takes any free slot, named outright
+                s = next(free)
+                self.displacement[b] = -1 - s
+                self.keys[s] = buckets[b][0][1]
+                self.ranks[s] = ranks[self.keys[s]]
 
     def _slot(self, h: int, d: int) -> int:
-        return ((h >> 20) + d * ((h >> 7) % (self.n - 1) + 1 if self.n > 1 else 0) + d * d) % self.n
+        if d < 0:
+            return -1 - d
+        x = (h ^ (d * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF
+        x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
+        return (x ^ (x >> 29)) % self.n
 
     def get(self, key: bytes) -> int:
         """The rank, or -1."""
