@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelattice.llm import byte_bpe, chat, language_id, mixing, ngram_join, quality, secrets
+from codelattice.llm import byte_bpe, chat, language_id, mixing, nearest, ngram_join, quality, repeats, secrets
 from codelattice.llm.common import table
 
 
@@ -18,10 +18,23 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_bytes(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_words(table(spark, sf_dir, "documents"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest.search(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,7 +60,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_mix_sources": op2_mix_sources,
+    "op3_substring_bytes": op3_substring_bytes,
     "op4_language_id": op4_language_id,
+    "op5_substring_words": op5_substring_words,
+    "op6_nearest": op6_nearest,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,

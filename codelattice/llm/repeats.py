@@ -1,0 +1,174 @@
+"""Repeated windows across documents: the search behind both substring operators.
+
+A window is a fixed number of consecutive units (bytes or words). Equal windows
+have the same least k-gram hash, so windows whose least hash occurs once are out
+after one aggregation of about one row per half window; only the rest are compared
+by their own hashes.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from codelattice.llm.common import materialize, prefix_hash, range_hash, utf8_column, word_bounds
+
+_ROWS = 200_000
+
+
+def _kgrams(units: np.ndarray, k: int) -> np.ndarray:
+    at = np.arange(max(0, len(units) - k + 1))
+    return range_hash(prefix_hash(units), at, at + k)
+
+
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    start, end = word_bounds(data, np.array([len(data)])) if len(data) else (np.zeros(0, np.int64),) * 2
+    return range_hash(prefix_hash(data), start, end), start, end
+
+
+def _units(data: np.ndarray, words: bool) -> np.ndarray:
+    return _word_hashes(data)[0] if words else data
+
+
+def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    size, out = 1, x
+    while 2 * size <= w:
+        out = np.minimum(out[:-size], out[size:])
+        size *= 2
+    return np.minimum(out[: len(x) - w + 1], out[w - size : w - size + len(x) - w + 1])
+
+
+def _least(units: np.ndarray, window: int, k: int) -> np.ndarray:
+    """The least k-gram hash of each window."""
+    if len(units) < window:
+        return np.zeros(0, np.uint64)
+    return _sliding_min(_kgrams(units, k), window - k + 1)
+
+
+def _texts(batch: pa.RecordBatch, i: int) -> Iterator[np.ndarray]:
+    data, offsets = utf8_column(batch.column(i))
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        yield data[a:b]
+
+
+def repeated_starts(docs: DataFrame, *, window: int, k: int, words: bool, within: bool) -> DataFrame:
+    """id, starts (int32 bytes): the windows of each document that also start earlier.
+
+    docs: id (struct-comparable, unique), text (string). Earlier: in a document of
+    smaller id, or, if `within`, further ahead in the same document.
+    """
+
+    def emit_least(batches):
+        for batch in batches:
+            for row, data in enumerate(_texts(batch, 1)):
+                units = _units(data, words)
+                least = _least(units, window, k)
+                if not len(least):
+                    continue
+                found = np.unique(least)
+                if within:  # the hash stands at two places of the document, so equal windows are possible
+                    grams, places = np.unique(_kgrams(units, k), return_counts=True)
+                    n = places[np.searchsorted(grams, found)]
+                for at in range(0, len(found), _ROWS):
+                    part = found[at : at + _ROWS].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(part), row))), pa.array(part), pa.array(n[at : at + _ROWS].astype(np.int64) if within else np.ones(len(part), np.int64))], ["id", "h", "n"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    leasts = materialize(docs.mapInArrow(emit_least, f"id {kind}, h long, n long"), "least")
+    shared = leasts.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    by_doc = leasts.select("id", "h").join(shared, "h", "left_semi").groupBy("id").agg(F.collect_list("h").alias("hs"))
+
+    def emit_windows(batches):
+        for batch in batches:
+            for row, data in enumerate(_texts(batch, 1)):
+                units = _units(data, words)
+                least = _least(units, window, k)
+                wanted = np.sort(batch.column(2)[row].values.to_numpy().view(np.uint64))
+                place = np.minimum(np.searchsorted(wanted, least), len(wanted) - 1)
+                starts = np.flatnonzero(wanted[place] == least)
+                c = prefix_hash(units)
+                for at in range(0, len(starts), _ROWS):
+                    s = starts[at : at + _ROWS]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(s), row))), pa.array(range_hash(c, s, s + window).view(np.int64)), pa.array(s, pa.int32())], ["id", "w", "at"])
+
+    windows = materialize(docs.join(by_doc, "id").select("id", "text", "hs").mapInArrow(emit_windows, f"id {kind}, w long, at int"), "windows")
+    first = windows.groupBy("w").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = (F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")) if within else F.col("id") != F.col("first.id")
+    return windows.join(first, "w").where(later).groupBy("id").agg(F.collect_list("at").alias("starts"))
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """id: doc_id, then the digest of the text, so that ids of distinct rows differ and rows that are equal share one."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.concat(F.when(F.col("doc_id").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.expr("cast('9223372036854775808' as decimal(20,0))")).cast("string"), 20, "0"))), F.md5(text))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), key.alias("id"))
+
+
+def remove(docs: DataFrame, *, window: int, k: int, words: bool, within: bool, with_text: bool = False) -> DataFrame:
+    """doc_id, units, removed, spans, kept_sha256 (and `kept`, the bytes) for each row of docs.
+
+    Of equal texts only the first is searched: a later copy that is as long as a
+    window is covered whole.
+    """
+    rows = _identified(docs)
+    firsts = rows.groupBy(F.md5("text").alias("digest")).agg(F.min("id").alias("id"))
+    unique = rows.join(firsts.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "text")
+    starts = repeated_starts(unique, window=window, k=k, words=words, within=within)
+    marked = rows.join(firsts.select("id", F.lit(True).alias("first")), "id", "left").join(starts, "id", "left")
+    names = ["doc_id", "units", "removed", "spans", "kept_sha256", *["kept"] * with_text]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                out = [[], [], [], [], []]
+                for row, data in enumerate(_texts(part, 1)):
+                    units, s, e = _word_hashes(data) if words else (data, None, None)
+                    gone = np.zeros(len(units) + 1, np.int64)
+                    if not part.column(2)[row].as_py():
+                        found = np.arange(0, max(0, len(units) - window + 1))
+                    else:
+                        held = part.column(3)[row].values
+                        found = held.to_numpy() if held is not None else np.zeros(0, np.int64)
+                    np.add.at(gone, found, 1)
+                    np.add.at(gone, found + window, -1)
+                    gone = np.cumsum(gone)[:-1] > 0
+                    if words:
+                        raw = data.tobytes()
+                        kept = b" ".join([raw[a:b] for a, b in zip(s[~gone], e[~gone], strict=True)])
+                    else:
+                        kept = data[~gone].tobytes()
+                    runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+                    for o, v in zip(out, (len(units), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                        o.append(v)
+                arrays = [part.column(0), *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.string())] + [pa.array(out[4], pa.binary())] * with_text
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    schema = "doc_id long, units long, removed long, spans long, kept_sha256 string" + ", kept binary" * with_text
+    return marked.select("doc_id", "text", F.coalesce("first", F.lit(False)).alias("first"), "starts").mapInArrow(run, schema)
+
+
+def remove_bytes(docs: DataFrame, *, length: int = 50, with_text: bool = False) -> DataFrame:
+    """Remove each byte covered by a `length`-byte string that also starts in an earlier document.
+
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row (and kept).
+    Documents are ordered by doc_id (null first), then by the digest of the text;
+    rows equal in both are one document and get the same result. Null text is empty.
+    """
+    out = remove(docs, window=length, k=max(1, 2 * length // 5), words=False, within=False, with_text=with_text)
+    return out.withColumnsRenamed({"units": "n_bytes", "removed": "n_removed", "spans": "n_spans"})
+
+
+def remove_words(docs: DataFrame, *, length: int = 20, with_text: bool = False) -> DataFrame:
+    """Remove each word covered by a window of `length` words that also starts earlier, in this document or another.
+
+    Returns doc_id, n_words, n_removed, n_spans, kept_sha256 per row (and kept);
+    order and edge cases as in remove_bytes. Windows are compared by 64-bit hashes.
+    """
+    out = remove(docs, window=length, k=max(1, 2 * length // 5), words=True, within=True, with_text=with_text)
+    return out.withColumnsRenamed({"units": "n_words", "removed": "n_removed", "spans": "n_spans"})
