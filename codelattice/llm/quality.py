@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import WORD, text_or_empty
+from codelattice.llm.common import WORD, materialize, text_or_empty
 
 WINDOW = 8
 _SYMBOLS = "#*$%&|<>"
@@ -98,7 +98,8 @@ def judge(docs: DataFrame, labels: DataFrame, *, stratum: str = "source", risk:
     Where a stratum has too few labels for the bound, its cutoff is null and only the
     base rules reject. Empty tables give no rows; empty labels reject nothing more.
     """
-    measured = measure(docs.select("doc_id", "text", F.col(stratum).alias("__stratum")), ["doc_id", "__stratum"])
+    # written once: a filter on a measure would otherwise be pushed down and repeat the measuring inside each lambda
+    measured = materialize(measure(docs.select("doc_id", "text", F.col(stratum).alias("__stratum")), ["doc_id", "__stratum"]), "measured")
     found = cutoffs(measured, labels, stratum="__stratum", risk=risk, error=error)
     joined = measured.withColumn("stratum", F.coalesce(F.col("__stratum").cast("string"), F.lit(""))).join(found, "stratum", "left")
     return joined.select(
