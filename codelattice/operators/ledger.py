@@ -31,3 +31,18 @@ def latest(events: DataFrame) -> DataFrame:
     """Last write wins: the newest event of each user, ties to the larger id."""
     newest = F.max(F.struct("ts", "event_id", "event_type")).alias("__last")
     return events.groupBy("user_id").agg(newest).select("user_id", "__last.ts", "__last.event_id", "__last.event_type")
+
+
+def sliding(events: DataFrame, width: str = "1 hour", every: str = "30 minutes") -> DataFrame:
+    return events.groupBy(F.window("ts", width, every)["start"].alias("start"), "event_type").agg(F.count("*").alias("n"))
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Runs of one user's events without a pause of `gap`."""
+    found = events.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"), F.min("ts").alias("start"), F.max("ts").alias("last_ts"))
+    return found.select("user_id", "start", "last_ts", "n")
+
+
+def first_of_hour(events: DataFrame) -> DataFrame:
+    """One event, of the smallest id, per user, type and hour."""
+    return events.groupBy("user_id", "event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start")).agg(F.min("event_id").alias("event_id"))

@@ -63,3 +63,29 @@ def diff_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.join(nodes(spark, sf_dir).select(F.col("symbol_id").alias("l_partkey"), "file_path"), "l_partkey")
     start = 1 + F.col("l_orderkey") % 400
     return rows.select("file_path", start.alias("start"), (start + F.col("l_linenumber")).alias("end")).distinct()
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File nodes: qualified_name, kind."""
+    return nodes(spark, sf_dir).select(F.col("file_path").alias("qualified_name"), F.lit("File").alias("kind")).distinct()
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kind, source, target, line of CALLS, IMPORTS_FROM, CONTAINS (file to symbol) and INHERITS (class to the next of its stem)."""
+    symbols = nodes(spark, sf_dir)
+    order = Window.partitionBy(F.regexp_replace("name", "_[0-9]+$", "")).orderBy("symbol_id")
+    heirs = symbols.where("kind = 'Class'").select(F.lit("INHERITS").alias("kind"), F.col("qualified_name").alias("source"), F.lead("qualified_name").over(order).alias("target"), F.lit(0).alias("line"))
+    contains = symbols.select(F.lit("CONTAINS"), "file_path", "qualified_name", F.lit(0))
+    imported = imports(spark, sf_dir).select(F.lit("IMPORTS_FROM"), "source", "target", F.lit(0))
+    called = calls(spark, sf_dir).select(F.lit("CALLS"), "source", "target", "line")
+    return heirs.where("target is not null").union(contains).union(imported).union(called)
+
+
+def documented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Production symbols with `doc`, the text of the document of their number."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("symbol_id"), F.col("text").alias("doc"))
+    return nodes(spark, sf_dir).where("not is_test").join(texts, "symbol_id", "left").select("qualified_name", "file_path", "doc")
+
+
+def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_orderpriority").alias("subject"))

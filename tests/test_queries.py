@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from codelattice.jobs.queries import ORACLE_SQL, QUERIES
+from codelattice.jobs.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.01"
 
@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("part", "lineitem", "orders", "events"):
+    for t in ("part", "lineitem", "orders", "events", "documents", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
