@@ -126,8 +126,7 @@ _CRITICAL = (
 outside AS (SELECT source, count(*) AS n FROM calls WHERE is_bare GROUP BY source),
 sums AS (SELECT entry, count(*) AS n, count(DISTINCT file_path) AS files, coalesce(sum(o.n), 0) AS outside, count(*) FILTER (regexp_matches(lower(qualified_name), 'hot|gear|bolt')) AS secure,
   count(t.source) AS covered, max(depth) AS depth FROM flows JOIN nodes ON node = qualified_name LEFT JOIN outside o ON o.source = node LEFT JOIN tested t ON t.source = node GROUP BY entry),
-critical AS (SELECT entry, round(greatest(0.0, least(1.0, CAST(0.3 AS DOUBLE) * least((files - 1) / 4, 1) + CAST(0.2 AS DOUBLE) * least(outside / 5, 1) + CAST(0.25 AS DOUBLE) * secure / n
-  + CAST(0.15 AS DOUBLE) * (1 - covered / n) + CAST(0.1 AS DOUBLE) * least(depth / 10, 1))), 4) AS criticality FROM sums)
+critical AS (SELECT entry, CAST((20 * ((75 * least(files - 1, 4) + 40 * least(outside, 5) + 10 * least(depth, 10)) * n + 250 * secure + 150 * (n - covered)) + n) // (2 * n) AS DOUBLE) / 10000 AS criticality FROM sums)
 """
 )
 _N = f"WITH {_NODES} "

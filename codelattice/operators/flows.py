@@ -40,10 +40,9 @@ def criticality(flows: DataFrame, nodes: DataFrame, calls: DataFrame, tested: Da
         F.count("*").alias("n"), F.countDistinct("file").alias("files"), F.sum(F.coalesce("outside", F.lit(0))).alias("outside"),
         F.sum("secure").alias("secure"), F.sum(F.coalesce("covered", F.lit(0))).alias("covered"), F.max("depth").alias("depth"),
     )
-    cap = lambda x: F.least(x, F.lit(1.0))
-    value = 0.30 * cap((F.col("files") - 1) / 4) + 0.20 * cap(F.col("outside") / 5) + 0.25 * F.col("secure") / F.col("n") + 0.15 * (1 - F.col("covered") / F.col("n")) + 0.10 * cap(F.col("depth") / 10)
-    clean = F.round(F.greatest(F.lit(0.0), cap(value)), 9)  # without the error of binary fractions, so that halves round up
-    return sums.select("entry", F.round(clean, 4).alias("criticality"))
+    # .30 (files - 1) / 4 + .20 outside / 5 + .25 secure / n + .15 (1 - covered / n) + .10 depth / 10, in whole thousandths of 1 / n, so that halves round up exactly
+    part = "(75 * least(files - 1, 4) + 40 * least(outside, 5) + 10 * least(depth, 10)) * n + 250 * secure + 150 * (n - covered)"
+    return sums.select("entry", F.expr(f"cast((20 * ({part}) + n) div (2 * n) as double) / 10000").alias("criticality"))
 
 
 def touched_flows(flows: DataFrame, changed: DataFrame) -> DataFrame:
