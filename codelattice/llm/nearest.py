@@ -3,7 +3,8 @@
 Euclidean nearness is a maximum inner product: -|q - x|^2 = 2 q.x - |x|^2 - |q|^2.
 Codebooks of 16 centres per subspace are fitted on a bounded sample; the residual's
 part parallel to the vector weighs more than the orthogonal part. Every vector is
-coded; scans rank by table look-ups and the best are measured exactly.
+coded; scans rank by table look-ups and the best are measured exactly, and so is
+every further vector that the error of its code leaves in question.
 """
 
 from __future__ import annotations
@@ -98,6 +99,76 @@ def _blocks(rows: DataFrame, size: int, dim: int) -> DataFrame:
     return rows.mapInArrow(pack, "ids binary, vectors binary")
 
 
+class _Block:
+    """The distinct vectors of a block, coded, and the ids of each."""
+
+    def __init__(self, books: Codebooks, ids: np.ndarray, xs: np.ndarray):
+        xs = xs + 0.0  # no negative zeros, so that equal vectors have equal bytes
+        _, first, group = np.unique(xs.view(np.dtype((np.void, 8 * xs.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        order = np.lexsort((ids, group))
+        ids, group = ids[order], group[order]
+        new = np.append(True, (np.diff(group) != 0) | (np.diff(ids) != 0))
+        self.ids, group = ids[new], group[new]
+        self.start = np.searchsorted(group, np.arange(len(first) + 1))
+        #: a vector with one id is out for the query of that id
+        self.lone = np.diff(self.start) == 1
+        self.least = self.ids[self.start[:-1]]
+        #: in how many vectors one id stands at most
+        self.spread = int(np.unique(self.ids, return_counts=True)[1].max())
+        self.books, self.xs = books, xs[first]
+        self.codes, self.norms = books.encode(self.xs), (self.xs**2).sum(axis=1)
+        coded = np.stack([books.centres[j][self.codes[:, j]] for j in range(self.codes.shape[1])], axis=1)
+        self.coded_norms = (coded**2).sum(axis=(1, 2))
+        self.residuals = np.sqrt(((books.split(self.xs) - coded) ** 2).sum(axis=(1, 2)))
+
+    def nearest(self, ids: np.ndarray, qs: np.ndarray, neighbours: int, candidates: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """vec_ids and scores of each query's nearest ids, all of them exact."""
+        tables = self.books.tables(qs)
+        inner = np.zeros((len(qs), len(self.xs)))
+        for j in range(self.codes.shape[1]):
+            inner += tables[:, j, :][:, self.codes[:, j]]
+        own = (ids[:, None] == self.least[None]) & self.lone
+        approx = np.where(own, -np.inf, 2 * inner - self.norms)
+        measure = lambda r, c: np.sqrt(((self.xs[c] - qs[r]) ** 2).sum(axis=1))
+        # this many vectors hold `neighbours` ids at least
+        need = neighbours * self.spread
+        n = min(max(candidates, need), len(self.xs))
+        best, far = np.argpartition(-approx, n - 1, axis=1)[:, :n], np.full(len(qs), np.inf)
+        for r in range(len(qs)):
+            d = measure(r, best[r][~own[r, best[r]]])
+            if len(d) >= need:
+                far[r] = np.partition(d, need - 1)[need - 1]
+        # |q - x| >= |q - coded x| - |x - coded x|; then by the inner products, less what rounding may add
+        norms = (qs**2).sum(axis=1)[:, None]
+        slack = lambda other: 8 * (qs.shape[1] + 8) * np.finfo(float).eps * (norms + other)
+        least = np.sqrt(np.maximum(norms + self.coded_norms - 2 * inner - slack(self.coded_norms), 0)) - self.residuals * (1 + 1e-9)
+        open_ = ~(least > far[:, None] * (1 + 1e-9)) & ~own
+        some = np.flatnonzero(open_.any(axis=0))
+        open_ = open_[:, some]
+        squares, room = norms + self.norms[some] - 2 * (qs @ self.xs[some].T), slack(self.norms[some])
+        limit = far**2
+        if len(some) >= need:
+            limit = np.fmin(limit, np.partition(np.where(open_, squares + room, np.inf), need - 1, axis=1)[:, need - 1])
+        open_ &= ~(squares - room > limit[:, None] * (1 + 1e-9))
+        out = []
+        for r in range(len(qs)):
+            c = some[open_[r]]
+            d = measure(r, c)
+            if len(d) > need:
+                kept = d <= np.partition(d, need - 1)[need - 1]
+                c, d = c[kept], d[kept]
+            # the smallest ids of each vector, one more for the query's own
+            sizes = np.minimum(self.start[c + 1] - self.start[c], neighbours + 1)
+            place = np.repeat(self.start[c] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            found, d = self.ids[place], np.repeat(d, sizes)
+            found, d = found[found != ids[r]], d[found != ids[r]]
+            order = np.lexsort((found, d))
+            found, d = found[order], d[order]
+            once = np.sort(np.unique(found, return_index=True)[1])[:neighbours]
+            out.append((found[once], d[once]))
+        return out
+
+
 def search(vectors: DataFrame, queries: DataFrame, *, neighbours: int = 10, candidates: int = 160, sample_rows: int = 20_000, width: int = 2, eta: float = 4.0, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows of vectors (vec_id, embedding) for each row of queries.
 
@@ -106,8 +177,9 @@ def search(vectors: DataFrame, queries: DataFrame, *, neighbours: int = 10, cand
     vector is null, zero, or holds a null, NaN or infinite component take no part,
     nor do those whose length isn't the commonest one. The codebooks are fitted on the
     sample_rows rows of smallest hash; all rows are coded and scanned. `candidates`
-    of each block of `block` rows are measured exactly. Repeated rows of one vec_id
-    are found once.
+    of each block of `block` rows are measured first, then all that the error of their
+    codes doesn't rule out, so no neighbour is lost. Copies of a vector are measured
+    once a block. Repeated rows of one vec_id are found once.
     """
     usable = lambda d: d.where(
         "vec_id is not null and embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"
@@ -127,30 +199,19 @@ def search(vectors: DataFrame, queries: DataFrame, *, neighbours: int = 10, cand
 
     def scan(batches):
         books = shipped.value
-        last, codes = None, None
+        last, held = None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 x_ids, x, q_ids, q = (batch.column(k)[i].as_py() for k in range(4))
-                if x_ids != last:
-                    last, xs = x_ids, np.frombuffer(x).reshape(-1, dim)
-                    codes, norms = books.encode(xs), (xs**2).sum(axis=1)
-                qs, xi, qi = np.frombuffer(q).reshape(-1, dim), np.frombuffer(x_ids, np.int64), np.frombuffer(q_ids, np.int64)
+                if (x_ids, x) != last:
+                    last, held = (x_ids, x), _Block(books, np.frombuffer(x_ids, np.int64), np.frombuffer(x).reshape(-1, dim))
+                qs, qi = np.frombuffer(q).reshape(-1, dim), np.frombuffer(q_ids, np.int64)
                 out = [[], [], []]
                 for t in range(0, len(qs), 64):
-                    tables = books.tables(qs[t : t + 64])
-                    approx = np.tile(-norms, (len(tables), 1))
-                    for j in range(codes.shape[1]):
-                        approx += 2 * tables[:, j, :][:, codes[:, j]]
-                    approx[qi[t : t + 64, None] == xi[None]] = -np.inf
-                    n = min(candidates, len(xi))
-                    best = np.argpartition(-approx, n - 1, axis=1)[:, :n]
-                    for r in range(len(tables)):
-                        c = best[r][np.isfinite(approx[r, best[r]])]
-                        d = np.sqrt(((xs[c] - qs[t + r]) ** 2).sum(axis=1))
-                        top = np.lexsort((xi[c], d))[:neighbours]
-                        out[0].append(np.full(len(top), qi[t + r]))
-                        out[1].append(xi[c][top])
-                        out[2].append(d[top])
+                    for k, (found, d) in enumerate(held.nearest(qi[t : t + 64], qs[t : t + 64], neighbours, candidates)):
+                        out[0].append(np.full(len(found), qi[t + k]))
+                        out[1].append(found)
+                        out[2].append(d)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "vec_id", "score"])
 
     # every block of vectors meets every block of the stated queries
