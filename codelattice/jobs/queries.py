@@ -8,42 +8,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice.operators import graph, ledger
-from codelattice.sources import projection as p
+from codelattice.sources import projection
 from codelattice.sources.storage import table
 
 SEED_FILE = "src/economy/brand_1.py"
 
 
-def _impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = p.nodes(spark, sf_dir).where(F.col("file_path") == SEED_FILE).select(F.col("qualified_name").alias("node"))
-    return graph.reach(p.calls(spark, sf_dir).where("not is_bare"), seeds, 2)
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "node_stats": lambda s, d: graph.stats(p.nodes(s, d)),
-    "nodes_by_size": lambda s, d: graph.by_size(p.nodes(s, d), 30),
-    "resolve_bare_calls": lambda s, d: graph.resolve_bare(p.calls(s, d), p.nodes(s, d)),
-    "xref_callers": lambda s, d: graph.callers(p.calls(s, d)),
-    "xref_callees": lambda s, d: graph.callees(p.calls(s, d)),
-    "tested_by_derivation": lambda s, d: graph.tested_by(p.calls(s, d)),
-    "test_gaps": lambda s, d: graph.test_gaps(p.nodes(s, d), graph.tested_by(p.calls(s, d))),
-    "module_edges": lambda s, d: graph.module_edges(p.calls(s, d)),
-    "entry_points": lambda s, d: graph.entry_points(p.nodes(s, d), p.calls(s, d)),
-    "import_edges": lambda s, d: p.imports(s, d),
-    "changed_symbols_overlap": lambda s, d: graph.overlaps(p.nodes(s, d), p.diff_ranges(s, d)),
-    "churn": lambda s, d: graph.churn(p.commits(s, d)),
-    "co_change": lambda s, d: graph.co_change(p.commits(s, d)),
-    "impact_radius": _impact,
-    "ledger_changes": lambda s, d: ledger.daily(_events(s, d)),
-    "ledger_deltas": lambda s, d: ledger.deltas(ledger.daily(_events(s, d))),
-    "spend_totals": lambda s, d: ledger.spend(_events(s, d)),
-    "event_tumbling": lambda s, d: ledger.tumbling(_events(s, d)),
-    "upsert_last_wins": lambda s, d: ledger.latest(_events(s, d)),
-}
+def queries_on(p) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries over the relations that p projects."""
+
+    def _impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+        seeds = p.nodes(spark, sf_dir).where(F.col("file_path") == SEED_FILE).select(F.col("qualified_name").alias("node"))
+        return graph.reach(p.calls(spark, sf_dir).where("not is_bare"), seeds, 2)
+
+    return {
+        "node_stats": lambda s, d: graph.stats(p.nodes(s, d)),
+        "nodes_by_size": lambda s, d: graph.by_size(p.nodes(s, d), 30),
+        "resolve_bare_calls": lambda s, d: graph.resolve_bare(p.calls(s, d), p.nodes(s, d)),
+        "xref_callers": lambda s, d: graph.callers(p.calls(s, d)),
+        "xref_callees": lambda s, d: graph.callees(p.calls(s, d)),
+        "tested_by_derivation": lambda s, d: graph.tested_by(p.calls(s, d)),
+        "test_gaps": lambda s, d: graph.test_gaps(p.nodes(s, d), graph.tested_by(p.calls(s, d))),
+        "module_edges": lambda s, d: graph.module_edges(p.calls(s, d)),
+        "entry_points": lambda s, d: graph.entry_points(p.nodes(s, d), p.calls(s, d)),
+        "import_edges": lambda s, d: p.imports(s, d),
+        "changed_symbols_overlap": lambda s, d: graph.overlaps(p.nodes(s, d), p.diff_ranges(s, d)),
+        "churn": lambda s, d: graph.churn(p.commits(s, d)),
+        "co_change": lambda s, d: graph.co_change(p.commits(s, d)),
+        "impact_radius": _impact,
+        "ledger_changes": lambda s, d: ledger.daily(_events(s, d)),
+        "ledger_deltas": lambda s, d: ledger.deltas(ledger.daily(_events(s, d))),
+        "spend_totals": lambda s, d: ledger.spend(_events(s, d)),
+        "event_tumbling": lambda s, d: ledger.tumbling(_events(s, d)),
+        "upsert_last_wins": lambda s, d: ledger.latest(_events(s, d)),
+    }
+
+
+QUERIES = queries_on(projection)
 
 _NODES = """nodes AS (
   SELECT *, file_path || '::' || parent_name || '.' || name AS qualified_name FROM (

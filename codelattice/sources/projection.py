@@ -26,40 +26,48 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.withColumn("qualified_name", F.concat("file_path", F.lit("::"), "parent_name", F.lit("."), "name"))
 
 
-def raw_calls(spark: SparkSession, sf_dir: str, min_quantity: int = 45) -> DataFrame:
-    """a, b, line: consecutive parts of an order, of lines of min_quantity at least."""
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= min_quantity).select("l_orderkey", "l_partkey", "l_linenumber")
+def _lines(spark: SparkSession, sf_dir: str, min_quantity: int | None) -> DataFrame:
+    """Lines of min_quantity at least; every line where it is None."""
+    lines = table(spark, sf_dir, "lineitem")
+    return lines if min_quantity is None else lines.where(F.col("l_quantity") >= min_quantity)
+
+
+def raw_calls(spark: SparkSession, sf_dir: str, min_quantity: int | None = 45) -> DataFrame:
+    """a, b, line: consecutive parts of an order, of lines of min_quantity at least (None: of all)."""
+    lines = _lines(spark, sf_dir, min_quantity).select("l_orderkey", "l_partkey", "l_linenumber")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     return lines.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(order).alias("b"), F.col("l_linenumber").alias("line")).where("b is not null and a <> b")
 
 
-def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def calls(spark: SparkSession, sf_dir: str, min_quantity: int | None = 45) -> DataFrame:
     """CALLS edges: source, target (bare where (a + b) % 5 = 0), file_path, line, source_test, target_test."""
     symbols = nodes(spark, sf_dir).select("symbol_id", "qualified_name", "name", "file_path", "is_test")
     source = symbols.select(F.col("symbol_id").alias("a"), F.col("qualified_name").alias("source"), "file_path", F.col("is_test").alias("source_test"))
     target = symbols.select(F.col("symbol_id").alias("b"), F.col("qualified_name").alias("__qn"), F.col("name").alias("__name"), F.col("is_test").alias("target_test"))
-    joined = raw_calls(spark, sf_dir).join(source, "a").join(target, "b")
+    joined = raw_calls(spark, sf_dir, min_quantity).join(source, "a").join(target, "b")
     bare = (F.col("a") + F.col("b")) % 5 == 0
     return joined.select("source", F.when(bare, F.col("__name")).otherwise(F.col("__qn")).alias("target"), "file_path", "line", bare.alias("is_bare"), "source_test", F.when(~bare, F.col("target_test")).alias("target_test")).distinct()
 
 
-def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+def imports(spark: SparkSession, sf_dir: str, min_quantity: int | None = 49) -> DataFrame:
     """IMPORTS_FROM edges between files."""
     files = nodes(spark, sf_dir).select("symbol_id", "file_path")
-    joined = raw_calls(spark, sf_dir, 49).join(files.toDF("a", "source"), "a").join(files.toDF("b", "target"), "b")
+    joined = raw_calls(spark, sf_dir, min_quantity).join(files.toDF("a", "source"), "a").join(files.toDF("b", "target"), "b")
     return joined.where("source <> target").select("source", "target").distinct()
 
 
-def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sha, ts, file_path: the files that each order's larger lines touch."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("symbol_id"))
+def commits(spark: SparkSession, sf_dir: str, min_quantity: int | None = 45) -> DataFrame:
+    """sha, ts, file_path: the files that each order's lines of min_quantity at least touch (None: all its lines)."""
+    lines = _lines(spark, sf_dir, min_quantity).select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("symbol_id"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_orderdate").alias("ts"))
     return lines.join(nodes(spark, sf_dir).select("symbol_id", "file_path"), "symbol_id").join(orders, "sha").select("sha", "ts", "file_path").distinct()
 
 
-def diff_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_path, start, end of changed lines."""
-    lines = table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz'2001-10-15'")
+def diff_ranges(spark: SparkSession, sf_dir: str, since: str | None = "2001-10-15") -> DataFrame:
+    """file_path, start, end of changed lines, of those shipped since that day (None: of all)."""
+    lines = table(spark, sf_dir, "lineitem")
+    if since is not None:
+        lines = lines.where(F.col("l_shipdate") >= F.lit(since).cast("timestamp_ntz"))
     rows = lines.join(nodes(spark, sf_dir).select(F.col("symbol_id").alias("l_partkey"), "file_path"), "l_partkey")
     start = 1 + F.col("l_orderkey") % 400
     return rows.select("file_path", start.alias("start"), (start + F.col("l_linenumber")).alias("end")).distinct()
@@ -70,14 +78,14 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).select(F.col("file_path").alias("qualified_name"), F.lit("File").alias("kind")).distinct()
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, min_call: int | None = 45, min_import: int | None = 49) -> DataFrame:
     """kind, source, target, line of CALLS, IMPORTS_FROM, CONTAINS (file to symbol) and INHERITS (class to the next of its stem)."""
     symbols = nodes(spark, sf_dir)
     order = Window.partitionBy(F.regexp_replace("name", "_[0-9]+$", "")).orderBy("symbol_id")
     heirs = symbols.where("kind = 'Class'").select(F.lit("INHERITS").alias("kind"), F.col("qualified_name").alias("source"), F.lead("qualified_name").over(order).alias("target"), F.lit(0).alias("line"))
     contains = symbols.select(F.lit("CONTAINS"), "file_path", "qualified_name", F.lit(0))
-    imported = imports(spark, sf_dir).select(F.lit("IMPORTS_FROM"), "source", "target", F.lit(0))
-    called = calls(spark, sf_dir).select(F.lit("CALLS"), "source", "target", "line")
+    imported = imports(spark, sf_dir, min_import).select(F.lit("IMPORTS_FROM"), "source", "target", F.lit(0))
+    called = calls(spark, sf_dir, min_call).select(F.lit("CALLS"), "source", "target", "line")
     return heirs.where("target is not null").union(contains).union(imported).union(called)
 
 
