@@ -12,6 +12,7 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame, SparkSession
 
 from codelattice.jobs import catalogue
+from codelattice.operators import flows, graph
 from codelattice.sources import projection
 
 RELATIONS = SimpleNamespace(
@@ -40,6 +41,15 @@ def _uncut(sql: str) -> str:
 _on = catalogue.queries_on(RELATIONS)
 _names = [name for name, sql in catalogue.ORACLE_SQL.items() if _uncut(sql) != sql]
 
+
+
+def _affected(s: SparkSession, d: str) -> DataFrame:
+    """Flows that hold a symbol which any changed range overlaps."""
+    return flows.touched_flows(_on["flow_nodes"](s, d), graph.overlaps(RELATIONS.nodes(s, d), RELATIONS.diff_ranges(s, d)))
+
+
+_on["affected_flows"] = _affected
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"{name}_whole": _on[name] for name in _names}
 
 ORACLE_SQL: dict[str, str] = {f"{name}_whole": _uncut(catalogue.ORACLE_SQL[name]) for name in _names if name not in FLOWS}

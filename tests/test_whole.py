@@ -38,3 +38,34 @@ def test_every_line_is_projected(spark, con):
     assert max(sum(1 for s, _ in touched if s == sha) for sha in orders) > 8  # so that the cap on bulk commits acts
     ranges = {(qn[part][2], 1 + sha % 400, 1 + sha % 400 + line) for sha, o in orders.items() for part, line in o}
     assert {(r.file_path, r.start, r.end) for r in RELATIONS.diff_ranges(spark, SF).collect()} == ranges
+
+
+def small(spark, folder):
+    """Parts 1, 2, 4, 5, 37, 38 and 50 in orders that call each other; every line of small quantity and early."""
+    parts = [(1, "plain bolt"), (2, "hot gear"), (4, "plain nut"), (5, "blue nut"), (37, "plain rod"), (38, "green rod"), (50, "green nut")]
+    spark.createDataFrame([(k, n, "Brand#1", "ECONOMY", 5) for k, n in parts], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{folder}/part.parquet")
+    # 1 calls 2, 2 calls 37, 37 calls 5, 4 calls 2; 38 and 50 call each other
+    pairs = [(1, 2), (2, 37), (37, 5), (4, 2), (38, 50), (50, 38)]
+    lines = [(i, part, n, 1.0) for i, pair in enumerate(pairs) for n, part in enumerate(pair, 1)]
+    day = "timestamp_ntz'1995-01-01'"
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").selectExpr("*", f"{day} AS l_shipdate").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def number(qualified):
+    return int(qualified.split("::K")[1].split(".")[0])
+
+
+def test_affected_flows_takes_every_changed_symbol(spark, tmp_path):
+    sf = small(spark, tmp_path)
+    # order i changes the lines i + 1 to i + 3 of the one file, symbol k stands at k + 1 to k + 5: 1 to 5 change, 50 doesn't
+    nodes = {r.qualified_name: (r.file_path, r.line_start, r.line_end) for r in RELATIONS.nodes(spark, sf).collect()}
+    ranges = [tuple(r) for r in RELATIONS.diff_ranges(spark, sf).collect()]
+    assert len(ranges) == 12
+    changed = {q for q, (f, a, b) in nodes.items() if any(f == g and a <= e and s <= b for g, s, e in ranges)}
+    want = {}
+    for r in QUERIES["flow_nodes_whole"](spark, sf).collect():
+        if r.node in changed:
+            want[r.entry] = want.get(r.entry, 0) + 1
+    assert {number(e): n for e, n in want.items()}.items() >= {1: 3, 4: 3}.items()
+    assert {r.entry: r.n_changed for r in QUERIES["affected_flows_whole"](spark, sf).collect()} == want
