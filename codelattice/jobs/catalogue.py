@@ -26,8 +26,7 @@ def queries_on(p) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return p.nodes(s, d).where(F.col("file_path") == SEED_FILE)
 
     def _flows(s: SparkSession, d: str) -> DataFrame:
-        calls = p.calls(s, d)
-        return flows.flow_nodes(graph.entry_points(p.nodes(s, d), calls), calls)
+        return flows.flow_nodes(p.entries(s, d) if hasattr(p, "entries") else graph.entry_points(p.nodes(s, d), p.calls(s, d)), p.calls(s, d))
 
     def _criticality(s: SparkSession, d: str) -> DataFrame:
         calls = p.calls(s, d)

@@ -15,6 +15,11 @@ from codelattice.jobs import catalogue
 from codelattice.operators import flows, graph
 from codelattice.sources import projection
 
+def entries(s: SparkSession, d: str) -> DataFrame:
+    """Entry points by all three rules: no caller, entry name, or framework decorator."""
+    return graph.entry_points(RELATIONS.nodes(s, d), RELATIONS.calls(s, d), catalogue.ENTRY_NAME, projection.decorated(s, d))
+
+
 RELATIONS = SimpleNamespace(
     nodes=projection.nodes,
     files=projection.files,
@@ -24,10 +29,13 @@ RELATIONS = SimpleNamespace(
     imports=partial(projection.imports, min_quantity=None),
     commits=partial(projection.commits, min_quantity=None),
     diff_ranges=partial(projection.diff_ranges, since=None),
+    entries=entries,
     edges=partial(projection.edges, min_call=None, min_import=None),
 )
 #: What the SQL of the cut relations filters by.
 CUTS = ("l_quantity >= 45", "l_quantity >= 49", "l_shipdate >= TIMESTAMP '2001-10-15'")
+#: The other two rules of an entry point.
+ENTRIES = """ UNION SELECT qualified_name FROM nodes WHERE kind = 'Function' AND (regexp_matches(name, '{}') OR symbol_id % 37 = 0)"""
 #: Their recursive SQL walks every path, which DuckDB doesn't end over all lines.
 FLOWS = ("flow_nodes", "flow_depth", "flow_criticality", "flows_topk", "affected_flows")
 
@@ -49,7 +57,9 @@ def _affected(s: SparkSession, d: str) -> DataFrame:
 
 
 _on["affected_flows"] = _affected
+_on["entry_points"] = entries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"{name}_whole": _on[name] for name in _names}
 
 ORACLE_SQL: dict[str, str] = {f"{name}_whole": _uncut(catalogue.ORACLE_SQL[name]) for name in _names if name not in FLOWS}
+ORACLE_SQL["entry_points_whole"] += ENTRIES.format(catalogue.ENTRY_NAME)

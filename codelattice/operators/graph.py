@@ -53,10 +53,17 @@ def module_edges(calls: DataFrame) -> DataFrame:
     return pairs.where("from_dir <> to_dir").groupBy("from_dir", "to_dir").agg(F.count("*").alias("n"))
 
 
-def entry_points(nodes: DataFrame, calls: DataFrame) -> DataFrame:
-    """Functions that nothing calls by their qualified name."""
+def entry_points(nodes: DataFrame, calls: DataFrame, names: str | None = None, decorators: DataFrame | None = None) -> DataFrame:
+    """Functions that nothing calls by their qualified name; with `names`, those whose name matches it, and
+    with `decorators` (qualified_name), those that a framework decorates, called or not."""
     called = calls.where("not is_bare").select(F.col("target").alias("qualified_name"))
-    return nodes.where("kind = 'Function'").select("qualified_name").join(called, "qualified_name", "left_anti")
+    functions = nodes.where("kind = 'Function'")
+    found = functions.select("qualified_name").join(called, "qualified_name", "left_anti")
+    if names is not None:
+        found = found.union(functions.where(F.col("name").rlike(names)).select("qualified_name"))
+    if decorators is not None:
+        found = found.union(functions.select("qualified_name").join(decorators, "qualified_name", "left_semi"))
+    return found if names is None and decorators is None else found.distinct()
 
 
 def overlaps(nodes: DataFrame, ranges: DataFrame) -> DataFrame:

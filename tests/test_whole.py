@@ -69,3 +69,29 @@ def test_affected_flows_takes_every_changed_symbol(spark, tmp_path):
             want[r.entry] = want.get(r.entry, 0) + 1
     assert {number(e): n for e, n in want.items()}.items() >= {1: 3, 4: 3}.items()
     assert {r.entry: r.n_changed for r in QUERIES["affected_flows_whole"](spark, sf).collect()} == want
+
+
+def test_named_and_decorated_functions_are_entries_though_called(spark, tmp_path):
+    sf = small(spark, tmp_path)
+    got = [number(r.qualified_name) for r in QUERIES["entry_points_whole"](spark, sf).collect()]
+    # 1 and 4 by no caller, 2 by its name (hot_), 37 by its decorator; (38 + 50) % 5 is 3, so 38 and 50 have callers
+    assert sorted(got) == [1, 2, 4, 37]
+
+
+def test_flows_match_brute_force(spark, tmp_path):
+    sf = small(spark, tmp_path)
+    step = {}
+    for r in RELATIONS.calls(spark, sf).where("not is_bare").collect():
+        step.setdefault(number(r.source), set()).add(number(r.target))
+    want = set()
+    for e in (1, 2, 4, 37):
+        depth, frontier = {e: 0}, [e]
+        while frontier:
+            frontier = [n for n in {n for m in frontier for n in step.get(m, ())} if n not in depth and not depth.update({n: max(depth.values()) + 1})]
+        if len(depth) > 1:
+            want |= {(e, n, k) for n, k in depth.items()}
+    assert {(number(r.entry), number(r.node), r.depth) for r in QUERIES["flow_nodes_whole"](spark, sf).collect()} == want
+    assert {(number(r.entry), r.n_nodes, r.depth) for r in QUERIES["flow_depth_whole"](spark, sf).collect()} == {(e, sum(x[0] == e for x in want), max(x[2] for x in want if x[0] == e)) for e in {x[0] for x in want}}
+    ranked = [(number(r.entry), r.criticality) for r in QUERIES["flows_topk_whole"](spark, sf).collect()]
+    assert {e for e, _ in ranked} == {x[0] for x in want} and [c for _, c in ranked] == sorted((c for _, c in ranked), reverse=True)
+    assert {(number(r.entry), r.criticality) for r in QUERIES["flow_criticality_whole"](spark, sf).collect()} == set(ranked)
