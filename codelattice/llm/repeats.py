@@ -3,7 +3,7 @@
 A window is a fixed number of consecutive units (bytes or words). Equal windows
 have the same least k-gram hash, so windows whose least hash occurs once are out
 after one aggregation of about one row per half window; only the rest are compared
-by their own hashes.
+by their own 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import materialize, prefix_hash, range_hash, utf8_column, word_bounds
+from codelattice.llm.common import materialize, mix64, prefix_hash, range_hash, utf8_column, word_bounds
 
 _ROWS = 200_000
 
@@ -35,6 +35,22 @@ def _units(data: np.ndarray, words: bool) -> np.ndarray:
     return _word_hashes(data)[0] if words else data
 
 
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _other(symbols: np.ndarray) -> np.ndarray:
+    """Symbols scattered over 64 bits, so that their polynomial hash is independent of the plain one."""
+    return mix64(symbols.astype(np.uint64) + _OTHER)
+
+
+def _other_units(data: np.ndarray, words: bool) -> np.ndarray:
+    """Units for the second half of a window's hash."""
+    if not words:
+        return _other(data)
+    _, start, end = _word_hashes(data)
+    return _other(range_hash(prefix_hash(_other(data)), start, end))
+
+
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     size, out = 1, x
     while 2 * size <= w:
@@ -91,15 +107,17 @@ def repeated_starts(docs: DataFrame, *, window: int, k: int, words: bool, within
                 wanted = np.sort(batch.column(2)[row].values.to_numpy().view(np.uint64))
                 place = np.minimum(np.searchsorted(wanted, least), len(wanted) - 1)
                 starts = np.flatnonzero(wanted[place] == least)
-                c = prefix_hash(units)
+                if not len(starts):
+                    continue
+                c, c2 = prefix_hash(units), prefix_hash(_other_units(data, words))
                 for at in range(0, len(starts), _ROWS):
                     s = starts[at : at + _ROWS]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(s), row))), pa.array(range_hash(c, s, s + window).view(np.int64)), pa.array(s, pa.int32())], ["id", "w", "at"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(s), row))), *(pa.array(range_hash(x, s, s + window).view(np.int64)) for x in (c, c2)), pa.array(s, pa.int32())], ["id", "w", "v", "at"])
 
-    windows = materialize(docs.join(by_doc, "id").select("id", "text", "hs").mapInArrow(emit_windows, f"id {kind}, w long, at int"), "windows")
-    first = windows.groupBy("w").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    windows = materialize(docs.join(by_doc, "id").select("id", "text", "hs").mapInArrow(emit_windows, f"id {kind}, w long, v long, at int"), "windows")
+    first = windows.groupBy("w", "v").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = (F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")) if within else F.col("id") != F.col("first.id")
-    return windows.join(first, "w").where(later).groupBy("id").agg(F.collect_list("at").alias("starts"))
+    return windows.join(first, ["w", "v"]).where(later).groupBy("id").agg(F.collect_list("at").alias("starts"))
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -159,6 +177,7 @@ def remove_bytes(docs: DataFrame, *, length: int = 50, with_text: bool = False)
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row (and kept).
     Documents are ordered by doc_id (null first), then by the digest of the text;
     rows equal in both are one document and get the same result. Null text is empty.
+    Windows are compared by 128-bit hashes.
     """
     out = remove(docs, window=length, k=max(1, 2 * length // 5), words=False, within=False, with_text=with_text)
     return out.withColumnsRenamed({"units": "n_bytes", "removed": "n_removed", "spans": "n_spans"})
@@ -168,7 +187,7 @@ def remove_words(docs: DataFrame, *, length: int = 20, with_text: bool = False)
     """Remove each word covered by a window of `length` words that also starts earlier, in this document or another.
 
     Returns doc_id, n_words, n_removed, n_spans, kept_sha256 per row (and kept);
-    order and edge cases as in remove_bytes. Windows are compared by 64-bit hashes.
+    order and edge cases as in remove_bytes. Windows are compared by 128-bit hashes.
     """
     out = remove(docs, window=length, k=max(1, 2 * length // 5), words=True, within=True, with_text=with_text)
     return out.withColumnsRenamed({"units": "n_words", "removed": "n_removed", "spans": "n_spans"})

@@ -49,3 +49,12 @@ def test_words(spark):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert repeats.remove_bytes(empty).count() == 0 and repeats.remove_words(empty).count() == 0
+
+
+def test_windows_of_equal_64_bit_hash_stay_apart(spark):
+    a, b = "lpaeaaakapstrudojsqguskiafaaqqeaaahbhaaaaaaaiasaaj", "aanauigauaaaaaaaaaaaaaaamabnaaalpuaaaoatafamaoapia"
+    units = [repeats.np.frombuffer(t.encode(), repeats.np.uint8) for t in (a, b)]
+    assert len({int(repeats.range_hash(repeats.prefix_hash(u), repeats.np.array([0]), repeats.np.array([50]))[0]) for u in units}) == 1
+    rows = [(1, a), (2, b), (3, a + " x"), (4, b + " y")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 50, False) and got[2][1] == 0
