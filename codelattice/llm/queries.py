@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelattice.llm import byte_bpe, chat, language_id, mixing, nearest, ngram_join, quality, repeats, secrets
+from codelattice.llm import byte_bpe, chat, language_id, mixing, nearest, ngram_join, quality, secrets, substring_dedup, suffix_dedup
 from codelattice.llm.common import table
 
 
@@ -19,7 +19,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_bytes(table(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_bytes(table(spark, sf_dir, "documents"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_words(table(spark, sf_dir, "documents"))
+    return substring_dedup.remove_words(table(spark, sf_dir, "documents"))
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

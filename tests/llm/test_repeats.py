@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from codelattice.llm import repeats
+import numpy as np
+from codelattice.llm import fm_index, substring_dedup, suffix_dedup, suffix_sort, windows
+from pyspark.sql import functions as F
 
 
 def corpus():
@@ -35,26 +37,89 @@ def brute(rows, window, words):
 
 
 def test_bytes(spark):
-    docs = spark.createDataFrame(corpus(), "doc_id long, text string").withColumn("id", repeats.F.lit(1))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_bytes(docs).collect()}
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string").withColumn("id", F.lit(1))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_bytes(docs).collect()}
     assert got == brute(corpus(), 50, False)
 
 
 def test_words(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_words(docs).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.remove_words(docs).collect()}
     assert got == brute(corpus(), 20, True)
 
 
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert repeats.remove_bytes(empty).count() == 0 and repeats.remove_words(empty).count() == 0
+    assert suffix_dedup.remove_bytes(empty).count() == 0 and substring_dedup.remove_words(empty).count() == 0
 
 
-def test_windows_of_equal_64_bit_hash_stay_apart(spark):
-    a, b = "lpaeaaakapstrudojsqguskiafaaqqeaaahbhaaaaaaaiasaaj", "aanauigauaaaaaaaaaaaaaaamabnaaalpuaaaoatafamaoapia"
-    units = [repeats.np.frombuffer(t.encode(), repeats.np.uint8) for t in (a, b)]
-    assert len({int(repeats.range_hash(repeats.prefix_hash(u), repeats.np.array([0]), repeats.np.array([50]))[0]) for u in units}) == 1
-    rows = [(1, a), (2, b), (3, a + " x"), (4, b + " y")]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute(rows, 50, False) and got[2][1] == 0
+def test_two_stage_order():
+    rng = np.random.default_rng(1)
+    for size, symbols in ((1, 2), (50, 2), (400, 3), (3000, 256)):
+        text = rng.integers(1, symbols + 1, size).astype(np.uint16)
+        text[size // 2 : size // 2 + 100] = 1
+        text[-1] = 0
+        raw = [tuple(text[i : i + 50]) for i in range(size)]
+        found = suffix_sort.two_stage_sort(text, np.ones(size, bool), 50)
+        assert sorted(found) == list(range(size))
+        assert [raw[i] for i in found] == sorted(raw)
+        shared = suffix_sort.common_prefixes(text, found, 50)
+        for a, b, n in zip(found[:-1], found[1:], shared[1:]):
+            assert n == next((d for d, (x, y) in enumerate(zip(raw[a], raw[b])) if x != y), 50)
+
+
+def test_statistics():
+    rng = np.random.default_rng(2)
+    text = np.append(rng.integers(1, 4, 500), 0)
+    text[300:330] = text[100:130]
+    ends = np.arange(20, 501)
+    found, start = fm_index.FMIndex(text, 20).statistics(text, ends, 20)
+    for e, n, s in zip(ends, found, start):
+        count = lambda m: sum(tuple(text[i : i + m]) == tuple(text[e - m : e]) for i in range(len(text) - m + 1))
+        assert count(n) > 1 if n else True
+        assert n == 20 or count(n + 1) == 1
+    same = {}
+    for e, n, s in zip(ends, found, start):
+        if n == 20:
+            assert same.setdefault(s, tuple(text[e - 20 : e])) == tuple(text[e - 20 : e])
+    assert len(same) == len(set(same.values())) and same
+
+
+def test_hot_hashes_are_split(spark, monkeypatch):
+    monkeypatch.setattr(windows, "SPLIT_DOCS", 3)
+    monkeypatch.setattr(windows, "SHARD_BYTES", 2000)
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_bytes(docs).collect()}
+    assert got == brute(corpus(), 50, False)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.remove_words(docs).collect()}
+    assert got == brute(corpus(), 20, True)
+
+
+def test_very_long_texts_and_slices(spark, monkeypatch):
+    monkeypatch.setattr(windows, "_SLICE", 97)
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randrange(3000)}" for _ in range(4000))
+    rows = [(1, long), (2, long[:9000] + "x" * 3000 + long[5000:]), (3, "a" * 5000), (4, "b" + "a" * 700), (None, long[100:400]), (4, "b" + "a" * 701)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for run, window, words in ((suffix_dedup.remove_bytes, 50, False), (substring_dedup.remove_words, 20, True)):
+        got = sorted(r.kept_sha256 for r in run(docs).collect())
+        keyed = [(-1 if i is None else i, hashlib.md5(t.encode()).hexdigest(), t) for i, t in rows]
+        order = {k: n for n, k in enumerate(sorted(keyed))}
+        want = brute([(order[k], k[2]) for k in keyed], window, words)
+        assert got == sorted(v[3] for v in want.values())
+
+
+def test_words_that_a_polynomial_hash_confuses_stay_apart(spark):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_words(docs).collect()] == [0, 0]
+
+
+def test_extra_columns_and_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, 0, 0), (1, text, 0, 0), (2, text, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest int, runs int")
+    assert sorted((r.doc_id, r.n_removed) for r in substring_dedup.remove_words(docs).collect()) == [(1, 0), (1, 0), (2, 40)]
+    assert sorted((r.doc_id, r.n_removed) for r in suffix_dedup.remove_bytes(docs).collect()) == [(1, 0), (1, 0), (2, len(text))]
