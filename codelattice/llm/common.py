@@ -210,6 +210,19 @@ def words_of(data: np.ndarray, ends: np.ndarray):
     return words, np.searchsorted(start, ends)
 
 
+def spaced(words) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the words, a space behind each, and where each word starts (and the last one ends)."""
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    bounds = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1).astype(np.int64)
+    starts = bounds + np.arange(len(bounds))
+    data = np.full(starts[-1], 32, np.uint8)
+    letters = np.ones(starts[-1], bool)
+    letters[starts[1:] - 1] = False
+    data[letters] = np.frombuffer(words.buffers()[2], np.uint8, bounds[-1])
+    return data, starts
+
+
 def word_hashes(words) -> np.ndarray:
     """64-bit hash (xxh3) of each word's bytes; each distinct word is hashed once."""
     import xxhash

@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import drop, grams, materialize, pieces, ranges, utf8_column, word_hashes, words_of
+from codelattice.llm.common import drop, grams, materialize, pieces, ranges, spaced, utf8_column, word_hashes, words_of
 
 #: Units that are hashed at a time; a longer text is taken in overlapping slices.
 _SLICE = 1 << 19
@@ -107,11 +108,7 @@ class _Piece:
         """The units of the windows first .. first + n - 1, as bytes; words are joined by a space."""
         last = first + n + self.kind.length - 1
         if self.kind.words:
-            size = np.diff(np.frombuffer(self.words.buffers()[1], np.int32, len(self.words) + 1)) + 1 if len(self.words) else np.zeros(0, np.int64)
-            offsets = np.append(0, np.cumsum(size))
-            letters = np.frombuffer(self.words.buffers()[2], np.uint8) if len(self.words) else np.zeros(0, np.uint8)
-            data = np.full(offsets[-1], 32, np.uint8)
-            data[np.arange(len(letters)) + np.repeat(np.arange(len(size)), size - 1)] = letters
+            data, offsets = spaced(self.words)
             start, end = offsets[first], offsets[last] - 1
         else:
             data, start, end = self.units, first, last
@@ -300,8 +297,8 @@ def remove(docs: DataFrame, kind: Windows, *, with_text: bool = False) -> DataFr
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                yield _kept(batch.slice(a, 200), kind, names)
+            for a, b in pieces(utf8_column(batch.column(1))[1], _PIECE):
+                yield _kept(batch.slice(a, b - a), kind, names)
 
     schema = "doc_id long, units long, removed long, spans long, kept_sha256 string" + ", kept binary" * with_text
     return marked.mapInArrow(finish, schema)
@@ -310,27 +307,36 @@ def remove(docs: DataFrame, kind: Windows, *, with_text: bool = False) -> DataFr
 def _kept(part: pa.RecordBatch, kind: Windows, names: list[str]) -> pa.RecordBatch:
     data, offsets = utf8_column(part.column(1))
     first = part.column(2).to_numpy(zero_copy_only=False)
-    out: list[list] = [[], [], [], [], []]
-    for row in range(part.num_rows):
-        text = data[offsets[row] : offsets[row + 1]]
-        words = words_of(text, np.array([len(text)]))[0] if kind.words else None
-        n = len(words) if kind.words else len(text)
-        gone = np.zeros(n + 1, np.int64)
-        runs = part.column(3)[row]
-        if not first[row]:
-            gone[0], gone[-1] = (n >= kind.length,) * 2
-            gone[-1] *= -1
-        elif runs.is_valid:
-            at, m = (x.to_numpy() for x in runs.values.flatten())
-            np.add.at(gone, at, 1)
-            np.add.at(gone, at + m + kind.length - 1, -1)
-        gone = np.cumsum(gone)[:-1] > 0
-        if kind.words:
-            kept = b" ".join(words.filter(pa.array(~gone)).to_pylist()) if gone.any() else b" ".join(words.to_pylist())
-        else:
-            kept = text[~gone].tobytes() if gone.any() else text.tobytes()
-        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-        for o, v in zip(out, (n, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
-            o.append(v)
-    arrays = [part.column(0), *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.string())]
-    return pa.RecordBatch.from_arrays(arrays + [pa.array(out[4], pa.binary())] * (len(names) - 5), names)
+    if kind.words:
+        words, ends = words_of(data, offsets[1:])
+        data, bounds = spaced(words)
+    else:
+        ends, bounds = offsets[1:], np.arange(len(data) + 1)
+    starts = np.append(0, ends[:-1])
+    n = ends - starts
+    gone = np.zeros(len(bounds), np.int64)
+    copies = ~first & (n >= kind.length)
+    np.add.at(gone, starts[copies], 1)
+    np.add.at(gone, ends[copies], -1)
+    lists = part.column(3)
+    if len(flat := lists.flatten()):
+        own = np.repeat(np.arange(len(lists)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+        at, m = (x.to_numpy() for x in flat.flatten())
+        use = first[own]
+        at, m = at[use] + starts[own[use]], m[use]
+        np.add.at(gone, at, 1)
+        np.add.at(gone, at + m + kind.length - 1, -1)
+    gone = np.cumsum(gone)[:-1] > 0
+    removed = np.append(0, np.cumsum(gone))
+    begins = gone & ~np.append(False, gone[:-1]) if len(gone) else gone
+    begins[starts[n > 0]] = gone[starts[n > 0]]
+    spans = np.append(0, np.cumsum(begins))
+    left = np.repeat(~gone, np.diff(bounds)) if kind.words else ~gone
+    data, size = data[left], np.append(0, np.cumsum(left))[bounds]
+    raw = data.tobytes()
+    kept = [raw[size[a] : size[b]] for a, b in zip(starts, ends, strict=True)]
+    if kind.words:  # each word carries a space behind it
+        kept = [x[:-1] for x in kept]
+    arrays = [part.column(0), *(pa.array(x, pa.int64()) for x in (n, removed[ends] - removed[starts], spans[ends] - spans[starts]))]
+    arrays.append(pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()))
+    return pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * (len(names) - 5), names)
