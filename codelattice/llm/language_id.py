@@ -33,14 +33,14 @@ class Model:
 
 def _is_letter() -> np.ndarray:
     if not _letters:
-        _letters.append(np.array([chr(i).isalpha() for i in range(1 << 16)]))
+        _letters.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
     return _letters[0]
 
 
 def _codes(text: str) -> np.ndarray:
     """Code points in lower case; all that aren't letters count as a space. A space stands at both ends."""
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.where(_is_letter()[np.minimum(codes, 65535)], codes, np.uint32(32))
+    return np.where(_is_letter()[codes], codes, np.uint32(32))
 
 
 def _buckets(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
@@ -62,53 +62,58 @@ def _slices(codes: np.ndarray, n: int) -> Iterator[np.ndarray]:
         yield codes[at : at + _CHUNK + n - 1]
 
 
-def train(docs: DataFrame, *, bits: int = 16, orders: tuple[int, ...] = (1, 2, 3), smoothing: float = 0.1, max_model_mb: int = 256) -> Model:
+def train(docs: DataFrame, *, bits: int = 16, orders: tuple[int, ...] = (1, 2, 3), smoothing: float = 0.1, max_model_mb: int = 128) -> Model:
     """Count the n-grams of `text` per `lang` over every row of docs and return the model.
 
     Rows with a null lang or text, or a text without letters, teach nothing. Repeated
     rows count as often as they occur. The model takes languages * 2**bits * 4 bytes;
-    more than max_model_mb raises, since it is broadcast.
+    more than max_model_mb raises, since it is broadcast. One row per language, the
+    model itself, reaches the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         n_docs: dict[str, int] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not any(map(str.isalpha, text)):
-                    continue
-                total = sums.setdefault(lang, np.zeros(1 << bits, np.int64))
-                n_docs[lang] = n_docs.get(lang, 0) + 1
-                codes = _codes(text)
-                for n in orders:
-                    for part in _slices(codes, n):
-                        if len(found := _buckets(part, n, bits)) > 4096:
-                            total += np.bincount(found, minlength=1 << bits)
-                        else:
-                            np.add.at(total, found, 1)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if not any(map(str.isalpha, text)):
+                        continue
+                    total = sums.setdefault(lang, np.zeros(1 << bits, np.int64))
+                    n_docs[lang] = n_docs.get(lang, 0) + 1
+                    codes = _codes(text)
+                    for n in orders:
+                        for piece in _slices(codes, n):
+                            if len(found := _buckets(piece, n, bits)) > 4096:
+                                total += np.bincount(found, minlength=1 << bits)
+                            else:
+                                np.add.at(total, found, 1)
         for lang, total in sums.items():
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * (len(used) + 1)), pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(total[used], n_docs[lang]), pa.int64())], ["lang", "bucket", "n"]
             )
 
+    def row(table: pa.Table) -> pa.Table:
+        """One language's row of the matrix, as bytes, and the number of its documents."""
+        bucket, n = table["bucket"].to_numpy(), table["n"].to_numpy()
+        counts = np.full(1 << bits, smoothing)
+        counts[bucket[bucket >= 0]] += n[bucket >= 0]
+        weights = np.log(counts / counts.sum()).astype(np.float32)
+        return pa.table({"lang": table["lang"].slice(0, 1), "n_docs": pa.array([int(n[bucket < 0].sum())]), "weights": pa.array([weights.tobytes()], pa.binary())})
+
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
     counted = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     limit = max_model_mb * 1_000_000 // (4 << bits)
     if rows.select("lang").distinct().limit(limit + 1).count() > limit:
         raise ValueError(f"over {limit} languages; their model would take over {max_model_mb} MB")
-    found = counted.toArrow()
-    lang, bucket, n = (found.column(i).combine_chunks() for i in range(3))
-    names = sorted(set(lang.unique().to_pylist()))
-    place = lang.dictionary_encode()
-    order = np.array([names.index(x) for x in place.dictionary.to_pylist()], np.intp)
-    row, bucket, n = order[place.indices.to_numpy()] if len(names) else np.zeros(0, np.intp), bucket.to_numpy(), n.to_numpy()
-    counts, docs_of = np.full((len(names), 1 << bits), smoothing), np.zeros(len(names))
-    grams = bucket >= 0
-    counts[row[grams], bucket[grams]] += n[grams]
-    docs_of[row[~grams]] = n[~grams]
-    log_prob = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32) if names else counts.astype(np.float32)
-    return Model(tuple(names), np.log(docs_of / max(docs_of.sum(), 1)), log_prob, orders)
+    found = counted.groupBy("lang").applyInArrow(row, "lang string, n_docs long, weights binary").orderBy("lang").collect()
+    if not found:
+        return Model((), np.zeros(0), np.zeros((0, 1 << bits), np.float32), orders)
+    docs_of = np.array([r.n_docs for r in found], np.float64)
+    log_prob = np.stack([np.frombuffer(r.weights, np.float32) for r in found])
+    return Model(tuple(r.lang for r in found), np.log(docs_of / docs_of.sum()), log_prob, orders)
 
 
 def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -158,14 +163,18 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, names:
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
+    # a text that is kept is sent once
+    sent = keep.index("text") if "text" in keep and docs.schema["text"].dataType == T.StringType() else len(keep)
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, max(1, batch.num_rows), 1000):
-                part = batch.slice(at, 1000)
-                best, score = score_texts(shipped.value, part.column(part.num_columns - 1).to_pylist())
+            for at in range(0, max(1, batch.num_rows), 500):
+                part = batch.slice(at, 500)
+                best, score = score_texts(shipped.value, part.column(sent).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(best, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(scored, schema)
+    extra = [F.col("text").cast("string").alias("__text")] if sent == len(keep) else []
+    return docs.select(*(docs[f"`{c}`"] for c in keep), *extra).mapInArrow(scored, schema)
 
 
 def fold(doc_id: str = "doc_id"):
@@ -186,5 +195,8 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """The documents whose language is identified with a score of min_score at least, with their own columns."""
     model = train(docs.where(fold() != 1))
-    found = predict(docs, model, names=("__lang_pred", "__score"))
-    return found.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= min_score)).select(*docs.columns)
+    names = ("__lang_pred", "__score")
+    while set(names) & set(docs.columns):  # a column of docs may have such a name
+        names = tuple(f"_{n}" for n in names)
+    found = predict(docs, model, names=names)
+    return found.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= min_score)).select(*(found[f"`{c}`"] for c in docs.columns))

@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import materialize
+from codelattice.llm.common import materialize, shuffle_partitions
 
 CENTRES = 16
+#: Queries of so many bytes at most are broadcast; more are dealt out with the blocks in cells.
+BROADCAST_BYTES = 32_000_000
 
 
 @dataclass(frozen=True)
@@ -55,8 +57,22 @@ class Codebooks:
         return codes
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """queries x subspaces x 16: inner products with every centre."""
-        return np.einsum("qmw,mkw->qmk", self.split(q), self.centres)
+        """queries x bytes x 256: inner products with the centres that a byte, two codes of four bits, stands for."""
+        one = np.einsum("qmw,mkw->qmk", self.split(q), self.centres)
+        if one.shape[1] % 2:
+            one = np.concatenate([one, np.zeros((len(q), 1, CENTRES))], axis=1)
+        return (one[:, 1::2, :, None] + one[:, ::2, None, :]).reshape(len(q), -1, CENTRES * CENTRES)
+
+
+def pack(codes: np.ndarray) -> np.ndarray:
+    """Two codes of four bits a byte, the first one low."""
+    if codes.shape[1] % 2:
+        codes = np.concatenate([codes, np.zeros((len(codes), 1), np.uint8)], axis=1)
+    return codes[:, ::2] | codes[:, 1::2] << 4
+
+
+def unpack(packed: np.ndarray, m: int) -> np.ndarray:
+    return np.stack([packed & 15, packed >> 4], axis=2).reshape(len(packed), -1)[:, :m]
 
 
 def fit(x: np.ndarray, *, width: int = 2, eta: float = 4.0, rounds: int = 6, seed: int = 7) -> Codebooks:
@@ -85,24 +101,25 @@ def fit(x: np.ndarray, *, width: int = 2, eta: float = 4.0, rounds: int = 6, see
     return books
 
 
-def _blocks(rows: DataFrame, size: int, dim: int) -> DataFrame:
-    """ids and vectors (doubles) of up to `size` rows as bytes, one block per row."""
+def _blocks(rows: DataFrame, size: int, books=None) -> DataFrame:
+    """ids, vectors (doubles) and, by the broadcast books, packed codes of up to `size` rows as bytes, one block per row."""
 
-    def pack(batches):
+    def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 values = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], ["ids", "vectors"])
+                codes = pack(books.value.encode(values.reshape(len(ids), -1))).tobytes() if books else b""
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (ids.tobytes(), values.tobytes(), codes)], ["ids", "vectors", "codes"])
 
-    return rows.mapInArrow(pack, "ids binary, vectors binary")
+    return rows.mapInArrow(run, "ids binary, vectors binary, codes binary")
 
 
 class _Block:
     """The distinct vectors of a block, coded, and the ids of each."""
 
-    def __init__(self, books: Codebooks, ids: np.ndarray, xs: np.ndarray):
+    def __init__(self, books: Codebooks, ids: np.ndarray, xs: np.ndarray, packed: np.ndarray):
         xs = xs + 0.0  # no negative zeros, so that equal vectors have equal bytes
         _, first, group = np.unique(xs.view(np.dtype((np.void, 8 * xs.shape[1]))).ravel(), return_index=True, return_inverse=True)
         order = np.lexsort((ids, group))
@@ -116,8 +133,9 @@ class _Block:
         #: in how many vectors one id stands at most
         self.spread = int(np.unique(self.ids, return_counts=True)[1].max())
         self.books, self.xs = books, xs[first]
-        self.codes, self.norms = books.encode(self.xs), (self.xs**2).sum(axis=1)
-        coded = np.stack([books.centres[j][self.codes[:, j]] for j in range(self.codes.shape[1])], axis=1)
+        self.packed, self.norms = packed[first], (self.xs**2).sum(axis=1)
+        codes = unpack(self.packed, books.shape[0])
+        coded = np.stack([books.centres[j][codes[:, j]] for j in range(codes.shape[1])], axis=1)
         self.coded_norms = (coded**2).sum(axis=(1, 2))
         self.residuals = np.sqrt(((books.split(self.xs) - coded) ** 2).sum(axis=(1, 2)))
 
@@ -125,8 +143,8 @@ class _Block:
         """vec_ids and scores of each query's nearest ids, all of them exact."""
         tables = self.books.tables(qs)
         inner = np.zeros((len(qs), len(self.xs)))
-        for j in range(self.codes.shape[1]):
-            inner += tables[:, j, :][:, self.codes[:, j]]
+        for j in range(self.packed.shape[1]):
+            inner += tables[:, j, :][:, self.packed[:, j]]
         own = (ids[:, None] == self.least[None]) & self.lone
         approx = np.where(own, -np.inf, 2 * inner - self.norms)
         measure = lambda r, c: np.sqrt(((self.xs[c] - qs[r]) ** 2).sum(axis=1))
@@ -194,17 +212,21 @@ def search(vectors: DataFrame, queries: DataFrame, *, neighbours: int = 10, cand
     taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toArrow().column(0).combine_chunks()
     books = fit(taken.flatten().to_numpy().reshape(-1, dim), width=width, eta=eta)
     shipped = vectors.sparkSession.sparkContext.broadcast(books)
-    packed = _blocks(rows, block, dim).withColumnsRenamed({"ids": "x_ids", "vectors": "x"})
-    asked = materialize(_blocks(usable(queries).where(F.size("embedding") == dim).coalesce(8), 512, dim), "queries").withColumnsRenamed({"ids": "q_ids", "vectors": "q"})
+    # the index: coded once, by blocks
+    packed = materialize(_blocks(rows, block, shipped), "index").withColumnsRenamed({"ids": "x_ids", "vectors": "x"})
+    asked_rows = materialize(usable(queries).where(F.size("embedding") == dim), "queries")
+    n_bytes = asked_rows.count() * (dim + 1) * 8
+    dealt = asked_rows.repartition(max(1, -(-n_bytes // BROADCAST_BYTES)))
+    asked = materialize(_blocks(dealt, 512), "asked").drop("codes").withColumnsRenamed({"ids": "q_ids", "vectors": "q"})
 
     def scan(batches):
         books = shipped.value
         last, held = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                x_ids, x, q_ids, q = (batch.column(k)[i].as_py() for k in range(4))
+                x_ids, x, codes, q_ids, q = (batch.column(k)[i].as_py() for k in range(5))
                 if (x_ids, x) != last:
-                    last, held = (x_ids, x), _Block(books, np.frombuffer(x_ids, np.int64), np.frombuffer(x).reshape(-1, dim))
+                    last, held = (x_ids, x), _Block(books, np.frombuffer(x_ids, np.int64), np.frombuffer(x).reshape(-1, dim), np.frombuffer(codes, np.uint8).reshape(len(x_ids) // 8, -1))
                 qs, qi = np.frombuffer(q).reshape(-1, dim), np.frombuffer(q_ids, np.int64)
                 out = [[], [], []]
                 for t in range(0, len(qs), 64):
@@ -215,7 +237,15 @@ def search(vectors: DataFrame, queries: DataFrame, *, neighbours: int = 10, cand
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "vec_id", "score"])
 
     # every block of vectors meets every block of the stated queries
-    met = packed.join(asked).select("x_ids", "x", "q_ids", "q")
+    if n_bytes <= BROADCAST_BYTES:
+        met = packed.join(F.broadcast(asked))
+    else:
+        down, across = -(-n_bytes // BROADCAST_BYTES), shuffle_partitions(vectors.sparkSession)
+        own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        met = packed.withColumn("i", own("x_ids", across)).withColumn("j", every(down)).join(asked.withColumn("j", own("q_ids", down)).withColumn("i", every(across)), ["i", "j"])
+        met = met.sortWithinPartitions("x_ids")
+    met = met.select("x_ids", "x", "codes", "q_ids", "q")
     found = met.mapInArrow(scan, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codelattice.llm import byte_bpe, chat, language_id, mixing, nearest, ngram_join, quality, secrets, substring_dedup, suffix_dedup
 from codelattice.llm.common import table
+from codelattice.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +70,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_ngram_join": op10_ngram_join,
 }
-
-ORACLE_SQL: dict[str, str] = {}

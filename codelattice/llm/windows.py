@@ -123,7 +123,7 @@ def _pieces(batch: pa.RecordBatch, column: int, kind: Windows) -> Iterator[tuple
 
 
 def _shared(texts: DataFrame, kind: Windows) -> DataFrame:
-    """d (hash of a text) and hs (the least hashes of it that other texts have too, and in how many splits each is dealt)."""
+    """Of texts (d, text): d (hash of a text) and hs (the least hashes of it that other texts have too, and in how many splits each is dealt)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +143,7 @@ def _shared(texts: DataFrame, kind: Windows) -> DataFrame:
                     twice[both[met]] = True
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text + at)), pa.array(h.view(np.int64)), pa.array(twice)], ["d", "h", "twice"])
 
-    found = materialize(texts.select("d", "text").mapInArrow(emit, "d long, h long, twice boolean"), "leasts")
+    found = materialize(texts.mapInArrow(emit, "d long, h long, twice boolean"), "leasts")
     counted = found.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("twice").alias("twice"), F.count("*").alias("n"))
     several = counted.where("lo <> hi or twice").select("h", F.ceil(F.col("n") / SPLIT_DOCS).cast("int").alias("splits"))
     several = materialize(several, "shared")
@@ -223,24 +223,31 @@ def _window_bytes(segments: pa.Array, which: np.ndarray, offset: np.ndarray, kin
     return pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(offsets), pa.py_buffer(data[ranges(start, end - start)])])
 
 
-def repeated(texts: DataFrame, kind: Windows) -> DataFrame:
-    """digest, runs (structs of at, n): the windows of each text that also stand earlier.
+def repeated(rows: DataFrame, firsts: DataFrame, kind: Windows, again: bool) -> DataFrame:
+    """digest, runs (structs of at, n): the windows of each distinct text that also stand earlier.
 
-    texts: digest (of the text; unique), doc_id, d (hash of the text), text. Earlier: in a
-    document that comes before by doc_id (null first), then digest, or, if kind.within,
-    further ahead in the same document.
+    rows: doc_id, digest (of the text), text; firsts: digest, first_id (the smallest
+    doc_id of the text). Earlier: in a document that comes before by doc_id (null first),
+    then digest, or, if kind.within, further ahead in the same document. again: whether
+    rows may be equal in doc_id and text.
     """
-    by_text = _shared(texts, kind)
+
+    def chosen(side: DataFrame) -> DataFrame:
+        """The rows that stand for their text, with what side (firsts and more) has; texts are moved once."""
+        found = rows.where(F.octet_length("text") >= kind.length).withColumnRenamed("digest", "__digest").join(side, (F.col("__digest") == side["digest"]) & F.col("doc_id").eqNullSafe(side["first_id"])).drop("__digest", "first_id")
+        return found.dropDuplicates(["digest"]) if again else found
+
+    by_text = _shared(chosen(firsts).select(F.xxhash64("digest").alias("d"), "text"), kind)
     total = by_text.agg(F.sum(F.size("hs"))).first()[0] or 0
     shards = max(1, -(-total * kind.segment_bytes // SHARD_BYTES))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(4)
+            lists = batch.column(3)
             bounds = lists.offsets.to_numpy()
             pairs = lists.values.flatten()
             h_all, splits_all = pairs[0].to_numpy().view(np.uint64), pairs[1].to_numpy()
-            for base, piece in _pieces(batch, 3, kind):
+            for base, piece in _pieces(batch, 2, kind):
                 text, first, n, h = piece.runs()
                 row = text + base
                 keep, splits = np.zeros(len(h), bool), np.ones(len(h), np.int64)
@@ -263,7 +270,8 @@ def repeated(texts: DataFrame, kind: Windows) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, ["shard", "split", "digest", "doc_id", "at", "segment"])
 
     schema = "shard long, split long, digest binary, doc_id long, at long, segment binary"
-    segments = texts.join(by_text, "d").select("digest", "doc_id", "d", "text", "hs").mapInArrow(emit, schema)
+    side = firsts.withColumn("d", F.xxhash64("digest")).join(by_text, "d").drop("d")
+    segments = chosen(side).select("digest", "doc_id", "text", "hs").mapInArrow(emit, schema)
     judged = segments.groupBy("shard", "split").applyInArrow(lambda table: _judge(table, kind), "digest binary, doc_id long, at long, n long, rep binary")
     judged = materialize(judged, "judged")
     drop(by_text)
@@ -271,7 +279,9 @@ def repeated(texts: DataFrame, kind: Windows) -> DataFrame:
     first = reps.groupBy("rep").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last")
     late = reps.join(first, "rep").where("place > first").select("digest", F.struct("at", F.lit(1).cast("long").alias("n")).alias("run"))
     runs = judged.where("rep is null").select("digest", F.struct("at", "n").alias("run")).union(late)
-    return materialize(runs.groupBy("digest").agg(F.collect_list("run").alias("runs")), "runs")
+    out = materialize(runs.groupBy("digest").agg(F.collect_list("run").alias("runs")), "runs")
+    drop(judged)
+    return out
 
 
 def remove(docs: DataFrame, kind: Windows, *, with_text: bool = False) -> DataFrame:
@@ -283,16 +293,14 @@ def remove(docs: DataFrame, kind: Windows, *, with_text: bool = False) -> DataFr
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.md5("text")))
     # the smallest id of each distinct text, null first
-    firsts = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"))).alias("at"), F.count("*").alias("n"))
-    firsts = materialize(firsts.select("digest", F.col("at.doc_id").alias("first_id"), "n"), "firsts")
-    is_first = (rows["digest"] == firsts["digest"]) & rows["doc_id"].eqNullSafe(firsts["first_id"])
-    chosen = rows.join(firsts.drop("n"), is_first, "left_semi")
-    if not rows.groupBy("digest", "doc_id").count().where("count > 1").limit(1).isEmpty():
-        chosen = chosen.dropDuplicates(["digest"])
-    texts = chosen.where(F.octet_length("text") >= kind.length).select("digest", "doc_id", F.xxhash64("text").alias("d"), "text")
-    runs = repeated(texts, kind)
-    side = firsts.drop("n").join(runs, "digest", "left")
-    marked = rows.join(side, "digest").select("doc_id", "text", F.col("doc_id").eqNullSafe(F.col("first_id")).alias("first"), "runs")
+    firsts = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"))).alias("at"))
+    firsts = materialize(firsts.select("digest", F.col("at.doc_id").alias("first_id")), "firsts")
+    again = not rows.groupBy("digest", "doc_id").count().where("count > 1").limit(1).isEmpty()
+    runs = repeated(rows, firsts, kind, again)
+    # only the row that stands for its text meets the runs; its copies are dealt by their own ids
+    side = firsts.join(runs, "digest", "left").withColumnRenamed("digest", "__digest").withColumn("first", F.lit(True))
+    marked = rows.join(side, (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left")
+    marked = marked.select("doc_id", "text", F.coalesce("first", F.lit(False)).alias("first"), "runs")
     names = ["doc_id", "units", "removed", "spans", "kept_sha256", *["kept"] * with_text]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
