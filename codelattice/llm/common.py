@@ -83,36 +83,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the table only grows."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if size <= 1 << 25:
-            _powers[base] = have
-    return have[:n]
-
-
-def prefix_hash(symbols: np.ndarray) -> np.ndarray:
-    """c with len(symbols) + 1 entries; range_hash(c, s, e) is the hash of symbols[s:e]."""
-    c = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(symbols)), out=c[1:])
-    return c
-
-
-def range_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hash of each range; equal ranges hash alike wherever they stand."""
-    return mix64((c[end] - c[start]) * powers(_BASE_INVERSE, len(c))[start])
-
-
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 LOWER = np.arange(256, dtype=np.uint8)

@@ -37,17 +37,24 @@ def _described(docs: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, *, power: float = 0.5, rounds: int = 30, tolerance: float = 1e-9) -> DataFrame:
-    """cells (source, lang, topic, tokens) with `weight`: tokens raked to the target shares of each dimension.
+def _total(weight: str) -> Column:
+    """Sum of weights in millionths, as a decimal: it doesn't depend on the order of rows, so reruns agree."""
+    return F.sum((F.col(weight) * 1e6).cast("decimal(38,0)"))
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, *, power: float = 0.5, rounds: int = 300, tolerance: float = 1e-9) -> DataFrame:
+    """cells (source, lang, topic, tokens) with `weight`, tokens raked to the target shares of each dimension, and `gap`.
 
     targets: shares by value for each of source, lang and topic; a value that isn't
     named gets none, and a dimension that isn't named takes shares in proportion to
-    its tokens ** power. Cells without tokens get no weight. Fitting ends when no
-    marginal is off by more than tolerance of the total, after `rounds` at the latest.
+    its tokens ** power. Cells without tokens get no weight. Fitting goes on until no
+    marginal is off by more than tolerance of the total, or the largest gap stops
+    shrinking, as it does for targets that can't hold together. gap: that largest gap as
+    a share of the total, the same in all rows; it tells whether the targets are met.
     """
     spark = cells.sparkSession
     found = cells.withColumn("weight", F.col("tokens").cast("double"))
-    total = found.agg(F.sum("weight")).first()[0] or 0.0
+    total = float(found.agg(F.sum("tokens")).first()[0] or 0)
     for d in DIMENSIONS:
         shares = cells.groupBy(d).agg(F.sum("tokens").alias("__t"))
         if targets and d in targets:
@@ -55,20 +62,23 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, *
             shares = shares.join(named, d, "left").select(d, F.coalesce("__share", F.lit(0.0)).alias("__share"))
         else:
             shares = shares.select(d, F.when(F.col("__t") > 0, F.pow("__t", F.lit(power))).otherwise(0.0).alias("__share"))
-        scale = shares.agg(F.sum("__share")).first()[0] or 1.0
+        scale = float(shares.agg(_total("__share")).first()[0] or 1e6) / 1e6
         found = found.join(shares.select(d, (F.col("__share") * (total / scale)).alias(f"__want_{d}")), d)
     found = materialize(found, "cells")
+    now = lambda d: _total("weight").over(Window.partitionBy(d)).cast("double") / 1e6
+    gap, last = 0.0, float("inf")
     for r in range(1, rounds + 1):
         for d in DIMENSIONS:
-            now = F.sum("weight").over(Window.partitionBy(d))
-            found = found.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"__want_{d}") / now).otherwise(0.0))
+            found = found.withColumn("__now", now(d)).withColumn("weight", F.when(F.col("__now") > 0, F.col("weight") * F.col(f"__want_{d}") / F.col("__now")).otherwise(0.0)).drop("__now")
         if r % 3 == 0 or r == rounds:
             found = materialize(found, "cells")
             off = [F.max(F.abs(F.col(f"__now_{d}") - F.col(f"__want_{d}"))) for d in DIMENSIONS]
-            seen = found.select("*", *(F.sum("weight").over(Window.partitionBy(d)).alias(f"__now_{d}") for d in DIMENSIONS))
-            if (seen.agg(F.greatest(*off)).first()[0] or 0.0) <= tolerance * max(total, 1.0):
+            seen = found.select("*", *(now(d).alias(f"__now_{d}") for d in DIMENSIONS))
+            gap = (seen.agg(F.greatest(*off)).first()[0] or 0.0) / max(total, 1.0)
+            if gap <= tolerance or gap > 0.999 * last:
                 break
-    return found.select(*DIMENSIONS, "tokens", "weight")
+            last = gap
+    return found.select(*DIMENSIONS, "tokens", "weight", F.lit(float(gap)).alias("gap"))
 
 
 def calibrate(weighted: DataFrame, rate: float) -> DataFrame:
@@ -82,33 +92,43 @@ def calibrate(weighted: DataFrame, rate: float) -> DataFrame:
     scale, n_whole = 0.0, -1
     while True:
         whole = F.col("__ratio") * scale >= 1.0
-        n, full, rest = rated.agg(F.count(F.when(whole, 1)), F.sum(F.when(whole, F.col("tokens")).otherwise(0)), F.sum(F.when(~whole, F.col("weight")).otherwise(0.0))).first()
+        n, full, rest = rated.withColumn("__rest", F.when(~whole, F.col("weight")).otherwise(0.0)).agg(F.count(F.when(whole, 1)), F.sum(F.when(whole, F.col("tokens")).otherwise(0)), _total("__rest")).first()
+        rest = float(rest or 0) / 1e6
         if n == n_whole or not rest:
             break
         n_whole, scale = n, max(scale, (budget - full) / rest)
     return rated.withColumn("probability", F.least(F.lit(1.0), F.col("__ratio") * scale)).drop("__ratio")
 
 
-def _drawn(docs: DataFrame, keep: list[str], targets, rate: float, power: float) -> DataFrame:
-    names = {f"__{d}": d for d in DIMENSIONS}
-    # cells are counted over all documents; the draw depends on the id alone
-    counted = _described(docs, []).groupBy(*names).agg(F.sum("__tokens").alias("tokens")).withColumnsRenamed(names)
+def _drawn(described: DataFrame, counted: DataFrame, targets, rate: float, power: float) -> DataFrame:
+    """described rows with their cell's probability and gap, and whether they are drawn; counted: tokens per cell of all rows."""
     cells = calibrate(rake(materialize(counted, "counted"), targets, power=power), rate)
-    fitted = materialize(cells, "fitted").select(*(F.col(d).alias(f"__{d}") for d in DIMENSIONS), F.col("probability").alias("__probability"))
-    return _described(docs, keep).join(fitted, list(names)).withColumn("__kept", F.col("__draw") < F.col("__probability") * float(1 << 52))
+    fitted = materialize(cells, "fitted").select(*(F.col(d).alias(f"__{d}") for d in DIMENSIONS), F.col("probability").alias("__probability"), F.col("gap").alias("__gap"))
+    # the draw depends on the id alone
+    return described.join(fitted, [f"__{d}" for d in DIMENSIONS]).withColumn("__kept", F.col("__draw") < F.col("__probability") * float(1 << 52))
+
+
+def _counted(described: DataFrame) -> DataFrame:
+    names = {f"__{d}": d for d in DIMENSIONS}
+    return described.groupBy(*names).agg(F.sum("__tokens").alias("tokens")).withColumnsRenamed(names)
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, *, rate: float = 0.5, power: float = 0.5) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, probability and kept of each row of docs.
+    """doc_id, source, lang, topic, n_tokens, probability, kept and gap (see rake) of each row of docs.
 
     Null source and lang count as the empty name, null text as empty. A text without
     words has probability 0. The draw is fixed by doc_id (by the text where that is
-    null), so repeated rows are drawn alike and a rerun draws the same rows.
+    null), so repeated rows are drawn alike and a rerun draws the same rows. An empty
+    table gives no rows.
     """
-    drawn = _drawn(docs, ["doc_id"], targets, rate, power)
-    return drawn.select("doc_id", *(F.col(f"__{d}").alias(d) for d in DIMENSIONS), F.col("__tokens").alias("n_tokens"), F.col("__probability").alias("probability"), F.col("__kept").alias("kept"))
+    described = materialize(_described(docs.select("doc_id", "source", "lang", "text"), ["doc_id"]), "described")
+    drawn = _drawn(described, _counted(described), targets, rate, power)
+    names = {"doc_id": "doc_id", **{f"__{d}": d for d in DIMENSIONS}, "__tokens": "n_tokens", "__probability": "probability", "__kept": "kept", "__gap": "gap"}
+    return drawn.select(*(F.col(a).alias(b) for a, b in names.items()))
 
 
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, *, rate: float = 0.5, power: float = 0.5) -> DataFrame:
-    """The drawn rows of docs, with their own columns."""
-    return _drawn(docs, docs.columns, targets, rate, power).where("__kept").select(*docs.columns)
+    """The drawn rows of docs, with their own columns, whatever their names."""
+    row = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("__row"), *(docs[c] for c in ("doc_id", "source", "lang", "text")))
+    drawn = _drawn(_described(row, ["__row"]), _counted(_described(row, [])), targets, rate, power)
+    return drawn.where("__kept").select(*(F.col(f"__row.`{c}`").alias(c) for c in docs.columns))

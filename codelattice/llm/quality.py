@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from codelattice.llm.common import WORD, materialize, text_or_empty
 
 WINDOW = 8
+#: Strata up to which their cutoffs are broadcast.
+BROADCAST_STRATA = 100_000
 _SYMBOLS = "#*$%&|<>"
 #: Cutoffs of the score to try, from the strictest on.
 GRID = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75)
@@ -59,10 +61,27 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+#: Terms of a tail that are summed one by one; what is left is bounded from above.
+TERMS = 512
+
+
+def log_factorial(n: Column) -> Column:
+    """ln(n!) by the series of the gamma function from 9 on, shifted by eight steps."""
+    x = n + 9.0
+    series = (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, 5)) - 1 / (1680 * F.pow(x, 7))
+    steps = F.log(n + 1.0)
+    for i in range(2, 9):
+        steps = steps + F.log(n + float(i))
+    return series - steps
+
+
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) of a binomial X with n trials of probability p, for k below n * p (above it: 1)."""
-    log_top = F.aggregate(F.sequence(F.lit(1), k), F.lit(0.0), lambda acc, i: acc + F.log((n - i + 1).cast("double") / i))
-    log_top = F.when(k > 0, log_top).otherwise(F.lit(0.0)) + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p))
+    """P(X <= k) of a binomial X with n trials of probability p, for k below n * p (above it: 1).
+
+    Terms shrink from k downwards; beyond the first TERMS a geometric series bounds them
+    from above, so the result is never too small, and the work doesn't grow with k.
+    """
+    log_top = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p))
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
     def step(acc: Column, i: Column) -> Column:
@@ -70,7 +89,12 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
         term = acc["term"] * (j * (1 - p)) / ((n - j + 1) * p)
         return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    total = F.when(k > 0, F.aggregate(F.sequence(F.lit(1), k), start, step, lambda acc: acc["total"])).otherwise(F.lit(1.0))
+    def finish(acc: Column) -> Column:
+        j = k - TERMS
+        ratio = (j * (1 - p)) / ((n - j + 1) * p)
+        return acc["total"] + F.when(j > 0, acc["term"] * ratio / (1 - ratio)).otherwise(0.0)
+
+    total = F.when(k > 0, F.aggregate(F.sequence(F.lit(1), F.least(k, F.lit(TERMS))), start, step, finish)).otherwise(F.lit(1.0))
     return F.when(k < n * p, F.least(F.lit(1.0), F.exp(log_top) * total)).otherwise(F.lit(1.0))
 
 
@@ -100,7 +124,9 @@ def judge(docs: DataFrame, labels: DataFrame, *, stratum: str = "source", risk:
     """
     # written once: a filter on a measure would otherwise be pushed down and repeat the measuring inside each lambda
     measured = materialize(measure(docs.select("doc_id", "text", F.col(stratum).alias("__stratum")), ["doc_id", "__stratum"]), "measured")
-    found = cutoffs(measured, labels, stratum="__stratum", risk=risk, error=error)
+    found = materialize(cutoffs(measured, labels, stratum="__stratum", risk=risk, error=error), "cutoffs")
+    # one row per stratum: sent to all tasks while they are few, so that no stratum's documents gather in one
+    found = F.broadcast(found) if found.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA else found
     joined = measured.withColumn("stratum", F.coalesce(F.col("__stratum").cast("string"), F.lit(""))).join(found, "stratum", "left")
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
