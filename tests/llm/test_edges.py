@@ -81,7 +81,6 @@ def test_words_that_a_polynomial_hash_confuses_do_not_link(spark):
 def test_long_texts_and_hot_groups_link(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 300)
     monkeypatch.setattr(ngram_join, "MEMBERS", 2)
-    monkeypatch.setattr(ngram_join, "LEADERS", 1)
     monkeypatch.setattr(ngram_join, "SHARD", 500)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(100)]
