@@ -1 +1 @@
-
+"""Column helpers over paths, names and texts."""

@@ -4,7 +4,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from codelattice.jobs.catalogue import ORACLE_SQL, QUERIES
+from codelattice.jobs import catalogue, docs, reading
+
+QUERIES = catalogue.QUERIES | docs.QUERIES | reading.QUERIES
+ORACLE_SQL = catalogue.ORACLE_SQL | docs.ORACLE_SQL | reading.ORACLE_SQL
 
 SF = "/root/testdata/sf0.01"
 
@@ -12,7 +15,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("part", "lineitem", "orders", "events", "documents", "pages"):
+    for t in ("part", "lineitem", "orders", "events", "documents", "pages", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
@@ -30,7 +33,7 @@ def rows(frame: pd.DataFrame) -> list[tuple]:
     return sorted(tuple(map(plain, names, r)) for r in frame[names].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_matches_sql(spark, con, name):
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
