@@ -1,4 +1,4 @@
-"""DuckDB SQL of the corpus queries that SQL can express."""
+"""DuckDB SQL of the corpus queries that SQL can express on whole tables in reasonable time."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ _WORD = r"[^\x20\x09-\x0D]+"
 def _positions(kind: str, order: int, pattern: str, valid: str = "true") -> str:
     """Spans of the leftmost matches: a match stands behind the gaps and matches before it. Each gap ends where a match starts."""
     return f"""
-    SELECT rid, {order} AS kind_order, '{kind}' AS kind, CAST(at AS BIGINT) AS s, CAST(at + length(m) AS BIGINT) AS e FROM (
-      SELECT rid, m, sum(length(gap) + before) OVER (PARTITION BY rid ORDER BY i) AS at FROM (
+    SELECT rid, {order} AS kind_order, '{kind}' AS kind, CAST(place AS BIGINT) AS s, CAST(place + length(m) AS BIGINT) AS e FROM (
+      SELECT rid, m, sum(length(gap) + before) OVER (PARTITION BY rid ORDER BY i) AS place FROM (
         SELECT rid, m, gap, i, coalesce(lag(length(m)) OVER (PARTITION BY rid ORDER BY i), 0) AS before FROM (
           SELECT rid, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, unnest(range(1, len(ms) + 1)) AS i FROM (
             SELECT rid, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gaps FROM d WHERE regexp_matches(text, '{pattern}')
@@ -39,18 +39,6 @@ every AS (SELECT rid, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.listed, '')) AS base_sha256,
   coalesce(v.listed, '') AS spans, coalesce(v.n, 0) AS n_linked FROM d LEFT JOIN base b USING (rid) LEFT JOIN every v USING (rid)"""
 
-OP3 = """
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-n AS (SELECT rid, doc_id, h, length(h) // 2 AS n FROM d),
-bytes AS (SELECT rid, doc_id, unnest(range(0, n)) AS i, h, n FROM n),
-windows AS (SELECT rid, doc_id, i, substr(h, CAST(2 * i + 1 AS INTEGER), 100) AS w FROM bytes WHERE i + 50 <= n),
-late AS (SELECT rid, i FROM (SELECT rid, i, doc_id, min(doc_id) OVER (PARTITION BY w) AS first FROM windows) WHERE first < doc_id),
-marked AS (SELECT b.rid, b.i, substr(b.h, CAST(2 * b.i + 1 AS INTEGER), 2) AS x, count(l.i) OVER (PARTITION BY b.rid ORDER BY b.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS gone
-  FROM bytes b LEFT JOIN late l ON b.rid = l.rid AND b.i = l.i),
-runs AS (SELECT rid, i, x, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY rid ORDER BY i), false) AS begins FROM marked),
-done AS (SELECT rid, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept FROM runs GROUP BY rid)
-SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM n LEFT JOIN done USING (rid)"""
-
 OP5 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
 words AS (SELECT rid, doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n FROM d),
@@ -110,7 +98,6 @@ SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, coalesce(c.component_id, d.
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": OP1,
-    "op3_substring_bytes": OP3,
     "op5_substring_words": OP5,
     "op8_quality_rules": OP8,
     "op9_chat_format": OP9,
