@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelattice.llm import byte_bpe, chat, importance, language_id, mixing, nearest, ngram_join, periodic_runs, quality, secrets, substring_dedup, suffix_dedup
+from codelattice.llm import byte_bpe, chat, importance, language_id, mixing, nearest, ngram_join, periodic_runs, quality, secrets, substring_dedup, suffix_dedup, toxicity
 from codelattice.llm.common import table
 from codelattice.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -62,6 +62,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.find(periodic_runs.with_planted_tails(table(spark, sf_dir, "documents"))))
 
@@ -78,5 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_ngram_join": op10_ngram_join,
     "op11_importance": op11_importance,
+    "op12_toxicity": op12_toxicity,
     "op13_periodic_runs": op13_periodic_runs,
 }
