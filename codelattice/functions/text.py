@@ -21,6 +21,36 @@ def folder(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
 
+def normpath(path: Column) -> Column:
+    """The path without `.`, empty parts and what `..` takes back; leading `..` stay, but for those of a path from the root. Nothing left is `.`."""
+    rooted = path.startswith("/")
+
+    def step(kept: Column, part: Column) -> Column:
+        back = (F.size(kept) > 0) & (F.element_at(kept, -1) != "..")
+        return (
+            F.when(part.isin("", "."), kept)
+            .when((part == "..") & back, F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+            .when((part == "..") & rooted, kept)
+            .otherwise(F.concat(kept, F.array(part)))
+        )
+
+    plain = F.array_join(F.reduce(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(rooted, F.concat(F.lit("/"), plain)).when(plain == "", ".").otherwise(plain)
+
+
+def ancestors(path: Column) -> Column:
+    """The folders above a path, nearest first, down to the empty one (the root)."""
+    parts = F.split(path, "/")
+    n = F.size(parts) - 1
+    return F.transform(F.sequence(n, F.lit(0), F.lit(-1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+
+
+def tails(path: Column) -> Column:
+    """The path and what stands behind each of its slashes, longest first."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+
+
 def stem(path: Column) -> Column:
     """The last part without its suffix; a leading dot belongs to the name."""
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), "(?<=.)\\.[^.]*$", "")

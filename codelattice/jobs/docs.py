@@ -156,9 +156,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flow_positions": lambda s, d: review.positions(catalogue.QUERIES["flow_nodes"](s, d)),
     "risk_scores": _risk,
     "review_priorities": lambda s, d: review.first_risks(_risk(s, d)),
-    "tour_doors": lambda s, d: review.doors(source.module_edges(s, d)),
-    "tour_reach": lambda s, d: review.door_reach(source.module_edges(s, d)),
-    "bottom_up_layers": lambda s, d: review.layers(source.module_edges(s, d)),
     "small_commit_churn": lambda s, d: graph.churn(history.small_commits(projection.commits(s, d, None))),
     "ledger_moved": _moved,
     "spend_rollup": _spend,
@@ -201,8 +198,7 @@ _TRACKED = """last AS (SELECT file_path, arg_max(o_orderpriority = '5-LOW', stru
 tracked AS (SELECT file_path FROM last WHERE NOT deleted)"""
 _EDGES = f"""WITH RECURSIVE {_NODES}, {_RAW.format(q=0).replace("l_quantity >= 0", "true")},
 counts AS (SELECT s.file_path AS source, t.file_path AS target, count(*) AS n FROM raw JOIN nodes s ON s.symbol_id = a JOIN nodes t ON t.symbol_id = b WHERE s.file_path <> t.file_path GROUP BY ALL),
-deps AS (SELECT x.source, x.target FROM counts x LEFT JOIN counts y ON x.source = y.target AND x.target = y.source WHERE x.n >= 2 * coalesce(y.n, 0)),
-doors AS (SELECT DISTINCT source AS module FROM deps WHERE source NOT IN (SELECT target FROM deps))
+deps AS (SELECT x.source, x.target FROM counts x LEFT JOIN counts y ON x.source = y.target AND x.target = y.source WHERE x.n >= 2 * coalesce(y.n, 0))
 """
 _IMPORTS = "imports AS (SELECT DISTINCT s.file_path AS source, t.file_path AS target FROM raw JOIN nodes s ON s.symbol_id = a JOIN nodes t ON t.symbol_id = b WHERE s.file_path <> t.file_path)"
 _HOPS = f"""tested AS ({_TESTED}), hops AS (SELECT source AS qualified_name, count(DISTINCT test) AS n_tests FROM (
@@ -259,8 +255,6 @@ SELECT source, coalesce(found, calls.target) AS target, calls.file_path, line, i
     "flow_positions": f"SELECT entry, node, row_number() OVER (PARTITION BY entry ORDER BY depth, node) - 1 AS position FROM ({catalogue.ORACLE_SQL['flow_nodes']})",
     "risk_scores": _RISK + "SELECT qualified_name, risk FROM risks",
     "review_priorities": _RISK + "SELECT qualified_name, risk FROM risks ORDER BY risk DESC, qualified_name LIMIT 10",
-    "tour_doors": _EDGES + "SELECT module FROM doors",
-    "tour_reach": _EDGES + ", walk AS (SELECT module AS door, module AS node FROM doors UNION SELECT door, target FROM walk JOIN deps ON node = source) SELECT door, count(*) AS n_reached FROM walk GROUP BY door",
     "small_commit_churn": f"""WITH {_NODES}, touched AS (SELECT DISTINCT l_orderkey AS sha, o_orderdate AS ts, file_path FROM lineitem JOIN nodes ON symbol_id = l_partkey JOIN orders ON o_orderkey = l_orderkey)
 SELECT file_path, count(DISTINCT sha) AS n_commits, max(ts) AS last_ts FROM touched WHERE sha IN (SELECT sha FROM touched GROUP BY sha HAVING count(*) <= 8) GROUP BY file_path""",
     "ledger_moved": """WITH snaps AS (SELECT CAST(ts AS DATE) AS day, CAST(floor(count(*) / 100) AS BIGINT) AS hundreds, count(DISTINCT event_type) AS types FROM events GROUP BY 1),

@@ -64,6 +64,17 @@ def module_edges(spark: SparkSession, sf_dir: str, ratio: int = 2) -> DataFrame:
     return counts.join(back, ["source", "target"], "left").where(F.col("n") >= ratio * F.coalesce("m", F.lit(0))).select("source", "target")
 
 
+def main_imports(spark: SparkSession, sf_dir: str, top: int = 2) -> DataFrame:
+    """source, target: the `top` modules that each module is followed by most oftener than it follows them, ties by name."""
+    files = projection.nodes(spark, sf_dir).select("symbol_id", "file_path")
+    pairs = projection.raw_calls(spark, sf_dir, None).join(files.toDF("a", "source"), "a").join(files.toDF("b", "target"), "b").where("source <> target")
+    counts = pairs.groupBy("source", "target").agg(F.count("*").alias("n"))
+    back = counts.select(F.col("source").alias("target"), F.col("target").alias("source"), F.col("n").alias("m"))
+    more = counts.join(back, ["source", "target"], "left").withColumn("more", F.col("n") - F.coalesce("m", F.lit(0))).where("more > 0")
+    order = Window.partitionBy("source").orderBy(F.desc("more"), "target")
+    return more.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("source", "target")
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """day and the counts of events and users of the day, in the order of days: the states that a ledger records."""
     events = table(spark, sf_dir, "events")

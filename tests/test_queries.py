@@ -4,10 +4,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from codelattice.jobs import catalogue, docs, reading
+from codelattice.jobs import catalogue, docs, features, reading
 
-QUERIES = catalogue.QUERIES | docs.QUERIES | reading.QUERIES
-ORACLE_SQL = catalogue.ORACLE_SQL | docs.ORACLE_SQL | reading.ORACLE_SQL
+QUERIES = catalogue.QUERIES | docs.QUERIES | reading.QUERIES | features.QUERIES
+ORACLE_SQL = catalogue.ORACLE_SQL | docs.ORACLE_SQL | reading.ORACLE_SQL | features.ORACLE_SQL
 
 SF = "/root/testdata/sf0.01"
 

