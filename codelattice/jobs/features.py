@@ -8,20 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice.jobs.docs import _EDGES
-from codelattice.operators import order
+from codelattice.jobs.queries import _NODES
+from codelattice.operators import order, resolution
 from codelattice.sources import docs as source
-from codelattice.sources import projection
+from codelattice.sources import java_code, projection, trees
 
 
 def _modules(s: SparkSession, d: str) -> DataFrame:
     return projection.nodes(s, d).select(F.col("file_path").alias("module")).distinct()
 
 
+def _injected(s: SparkSession, d: str, temporal: bool) -> DataFrame:
+    rows = java_code.extract(trees.java_files(s, d))
+    nodes = java_code.nodes(rows)
+    fields = java_code.edges(rows, "TEMPORAL_STUB" if temporal else "INJECTS")
+    if temporal:
+        fields = resolution.temporal_fields(fields, nodes.select("name", "role"))
+    calls = java_code.edges(rows, "CALLS").select("source", "target", "receiver")
+    return resolution.resolve_injected(calls, fields, nodes, java_code.edges(rows, "INHERITS"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tour_doors": lambda s, d: order.doors(source.main_imports(s, d)),
     "tour_reach": lambda s, d: order.door_reach(source.main_imports(s, d)),
     "tour_order": lambda s, d: order.tour(_modules(s, d), source.main_imports(s, d)),
     "bottom_up_layers": lambda s, d: order.bottom_up(_modules(s, d), source.main_imports(s, d)),
+    "package_suffix_join": lambda s, d: resolution.package_imports(trees.package_imports(s, d), trees.package_files(s, d)),
+    "include_resolution": lambda s, d: resolution.resolve_includes(trees.includes(s, d), trees.headers(s, d)),
+    "module_resolution": lambda s, d: resolution.resolve_modules(trees.module_imports(s, d), projection.files(s, d).select(F.col("qualified_name").alias("file_path"))),
+    "di_resolution_spring": lambda s, d: _injected(s, d, temporal=False),
+    "di_resolution_temporal": lambda s, d: _injected(s, d, temporal=True),
 }
 
 _MAIN = (
@@ -35,7 +51,34 @@ reach AS (SELECT door, count(*) AS n_reached FROM walk GROUP BY door)
 """
 )
 
+_RAW_ALL = "raw AS (SELECT * FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem) WHERE b IS NOT NULL AND a <> b)"
+_HEADER = "(['src', 'lib', 'vendor/src'])[{0} % 3 + 1] || '/d' || ({0} % 7) || '/h' || CASE WHEN {0} % 2 = 0 THEN {0} % 300 ELSE {0} END || '.h'"
+_PACKAGE = "CASE {0} % 3 WHEN 0 THEN 'src/core/p' WHEN 1 THEN 'core/p' ELSE 'p' END || ({0} % 40)"
+_JAVA = rf"""WITH {_NODES}, java AS (SELECT *, regexp_replace(file_path, '\.py$', '/J' || (symbol_id // 100) || '.java') AS path FROM nodes),
+pairs AS (SELECT symbol_id AS p, path || '::K' || symbol_id || '.' || name AS source, lead(symbol_id) OVER w AS q, lead(name) OVER w AS target, path FROM java WINDOW w AS (PARTITION BY path ORDER BY symbol_id))
+SELECT source, target, 'dep' AS receiver, CASE WHEN {{0}} THEN path || '::' || CASE WHEN q % 5 = 0 THEN 'S' || q || CASE WHEN q % 2 = 0 THEN 'Activity' ELSE '' END ELSE 'K' || q END || '.' || target END AS found FROM pairs WHERE q IS NOT NULL"""
+
 ORACLE_SQL: dict[str, str] = {
+    "package_suffix_join": f"""WITH {_NODES}, {_RAW_ALL}, dirs AS (SELECT DISTINCT {_PACKAGE.format("symbol_id")} AS dir FROM nodes),
+asked AS (SELECT DISTINCT {_PACKAGE.format("a")} || '/f' || a || '.go' AS source, CASE WHEN a % 2 = 0 THEN 'git.example/x/src/core/' WHEN a % 5 = 0 THEN 'git.example/xcore/' ELSE 'git.example/core/' END || 'p' || (b % 45) AS target FROM raw)
+SELECT source, target, arg_max(dir, length(dir)) AS dir FROM (SELECT DISTINCT target FROM asked) t JOIN dirs ON t.target = dir OR t.target LIKE '%/' || dir JOIN asked USING (target) GROUP BY source, target""",
+    "include_resolution": f"""WITH {_NODES}, {_RAW_ALL}, owned AS (SELECT DISTINCT {_HEADER.format("symbol_id")} AS f FROM nodes),
+spelled AS (SELECT DISTINCT {_HEADER.format("a")} AS source, (a + b) % 4 AS kind, string_split({_HEADER.format("b")}, '/') AS p FROM raw),
+asked AS (SELECT DISTINCT source, regexp_extract(source, '^(.*)/[^/]*$', 1) AS dir, CASE kind WHEN 0 THEN p[-1] WHEN 1 THEN p[-2] || '/' || p[-1] WHEN 2 THEN array_to_string(p, '/') ELSE '../' || p[-2] || '/' || p[-1] END AS target FROM spelled),
+near AS (SELECT *, contains(target, '/') AS deep, CASE WHEN target LIKE '../%' THEN regexp_extract(dir, '^(.*)/[^/]*$', 1) || substr(target, 3) ELSE dir || '/' || target END AS beside FROM asked),
+tails AS (SELECT t AS target, min(f) AS f FROM (SELECT f, unnest([array_to_string(string_split(f, '/')[i:], '/') FOR i IN range(2, len(string_split(f, '/')))]) AS t FROM owned) GROUP BY t HAVING count(*) = 1),
+below AS (SELECT dir, target, min(f) AS f FROM (SELECT f, regexp_extract(f, '[^/]*$') AS target, unnest([array_to_string(string_split(f, '/')[:i], '/') FOR i IN range(1, len(string_split(f, '/')))]) AS dir FROM owned) GROUP BY ALL HAVING count(*) = 1),
+lone AS (SELECT regexp_extract(f, '[^/]*$') AS target, min(f) AS f FROM owned GROUP BY 1 HAVING count(*) = 1),
+hits AS (SELECT source, target, beside AS f, 1 AS rung FROM near WHERE beside IN (SELECT f FROM owned) UNION ALL SELECT source, target, target, 2 FROM near WHERE deep AND target IN (SELECT f FROM owned)
+  UNION ALL SELECT source, target, f, 3 FROM near JOIN tails USING (target) WHERE deep UNION ALL SELECT source, target, f, 2 FROM near JOIN below USING (dir, target) WHERE NOT deep
+  UNION ALL SELECT source, target, f, 3 FROM near JOIN lone USING (target) WHERE NOT deep AND split_part(f, '/', 1) = split_part(source, '/', 1))
+SELECT source, target, arg_min(f, rung) AS found, min(rung) AS rung FROM hits GROUP BY source, target""",
+    "module_resolution": f"""WITH {_NODES}, {_RAW_ALL}, files AS (SELECT DISTINCT file_path AS f FROM nodes),
+asked AS (SELECT DISTINCT s.file_path, string_split(regexp_replace(t.file_path, '\\.py$', ''), '/')[-((a + b) % 3 + 1):] AS m FROM raw JOIN nodes s ON s.symbol_id = a JOIN nodes t ON t.symbol_id = b),
+tried AS (SELECT file_path, m, i, CASE WHEN i = 0 THEN '' ELSE array_to_string(string_split(file_path, '/')[:i], '/') || '/' END || array_to_string(m, '/') || '.py' AS f FROM asked, (SELECT unnest(range(0, 3)) AS i))
+SELECT file_path, 'python' AS language, array_to_string(m, '.') AS module, arg_max(f, i) AS found FROM tried JOIN files USING (f) GROUP BY ALL""",
+    "di_resolution_spring": _JAVA.format("p % 3 <> 0"),
+    "di_resolution_temporal": _JAVA.format("q % 4 = 0"),
     "tour_doors": _MAIN + "SELECT module FROM doors",
     "tour_reach": _MAIN + "SELECT door, n_reached FROM reach",
     "tour_order": _MAIN

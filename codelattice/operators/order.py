@@ -33,7 +33,7 @@ def _inside(edges: DataFrame, modules: DataFrame) -> DataFrame:
     """Distinct edges between two different modules of the given ones."""
     known = modules.select("module")
     kept = edges.where("source <> target").select("source", "target").distinct()
-    return kept.join(known.toDF("source"), "source", "left_semi").join(known.toDF("target"), "target", "left_semi")
+    return kept.join(known.toDF("source"), "source", "left_semi").join(known.toDF("target"), "target", "left_semi").select("source", "target")
 
 
 def doors(edges: DataFrame) -> DataFrame:
