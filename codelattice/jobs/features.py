@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelattice.jobs import catalogue
 from codelattice.jobs.docs import _EDGES
-from codelattice.jobs.queries import _NODES
-from codelattice.operators import order, resolution
+from codelattice.jobs.queries import _CALLS, _NODES, SEED_FILE
+from codelattice.operators import bounded, flows, graph, line_diff, order, resolution, search
 from codelattice.sources import docs as source
 from codelattice.sources import java_code, projection, trees
+from codelattice.sources.storage import table
 
 
 def _modules(s: SparkSession, d: str) -> DataFrame:
@@ -28,6 +30,51 @@ def _injected(s: SparkSession, d: str, temporal: bool) -> DataFrame:
     return resolution.resolve_injected(calls, fields, nodes, java_code.edges(rows, "INHERITS"))
 
 
+def _questions(s: SparkSession, d: str) -> DataFrame:
+    """query_id, text: two words of each kind of name, inflected; every third with a part that only a substring finds."""
+    names = table(s, d, "part").select(F.split(F.lower("p_name"), " ").alias("w")).select(F.get("w", F.lit(0)).alias("a"), F.get("w", F.lit(1)).alias("b")).where("b is not null").distinct()
+    text = F.when(F.length("a") == 3, F.concat(F.left("a", F.lit(2)), F.lit(" "), F.substring("b", 2, 9))).otherwise(F.concat(F.initcap("b"), F.lit("s "), F.upper("a")))
+    return names.select(F.concat("a", F.lit("-"), "b").alias("query_id"), text.alias("text"))
+
+
+def _search(s: SparkSession, d: str) -> DataFrame:
+    nodes = projection.nodes(s, d).select("name", "qualified_name", "file_path")
+    return search.search(_questions(s, d), search.build_index(nodes), nodes).select("query_id", "id", "how", "place")
+
+
+def _depends(s: SparkSession, d: str) -> DataFrame:
+    called = projection.calls(s, d, None).select(F.lit("CALLS").alias("kind"), "source", "target", "file_path")
+    return called.union(source.main_imports(s, d).select(F.lit("IMPORTS_FROM"), "source", "target", "source"))
+
+
+def _impact(s: SparkSession, d: str) -> DataFrame:
+    nodes = projection.nodes(s, d).where(F.col("file_path") == SEED_FILE).select(F.col("qualified_name").alias("node"))
+    return bounded.impact(projection.calls(s, d, None).where("not is_bare").select("source", "target"), nodes, 2, 200)
+
+
+def _before(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Calls as they were before the files of the last commits changed, when those made only their calls of even lines; and those files."""
+    calls, changed = projection.calls(s, d), source.changed_symbols(s, d).select("file_path").distinct()
+    then = calls.join(changed.withColumn("changed", F.lit(True)), "file_path", "left").where("changed is null or line % 2 = 0").drop("changed")
+    return then.select(*calls.columns), changed
+
+
+def _retraced(s: SparkSession, d: str) -> DataFrame:
+    nodes, now = projection.nodes(s, d), projection.calls(s, d)
+    then, changed = _before(s, d)
+    before, entries = graph.entry_points(nodes, then), graph.entry_points(nodes, now)
+    return flows.retrace(flows.flow_nodes(before, then), before, entries, now, nodes, changed)
+
+
+def _line_pairs(s: SparkSession, d: str) -> DataFrame:
+    """doc_id, before, after: each document's lines numbered, and the same without every seventh and with one line more in every fifth document."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.concat(i.cast("string"), F.lit(":"), F.regexp_replace(x, r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", " ")))
+    rows = table(s, d, "documents").select("doc_id", lines.alias("lines"))
+    fewer = F.filter("lines", lambda x, i: i % 7 != 3)
+    more = F.when(F.col("doc_id") % 5 == 0, F.concat(F.array(F.lit("new line")), fewer)).otherwise(fewer)
+    return rows.select("doc_id", F.array_join("lines", "\n").alias("before"), F.array_join(more, "\n").alias("after"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tour_doors": lambda s, d: order.doors(source.main_imports(s, d)),
     "tour_reach": lambda s, d: order.door_reach(source.main_imports(s, d)),
@@ -38,6 +85,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "module_resolution": lambda s, d: resolution.resolve_modules(trees.module_imports(s, d), projection.files(s, d).select(F.col("qualified_name").alias("file_path"))),
     "di_resolution_spring": lambda s, d: _injected(s, d, temporal=False),
     "di_resolution_temporal": lambda s, d: _injected(s, d, temporal=True),
+    "symbol_search": _search,
+    "impact_bounded": _impact,
+    "dependents_bounded": lambda s, d: bounded.dependents(_depends(s, d), projection.nodes(s, d), _modules(s, d).toDF("file_path"), 2, 60),
+    "ripple_bounded": lambda s, d: bounded.ripple(_depends(s, d), projection.nodes(s, d), source.changed_symbols(s, d, days=0).select("file_path").distinct(), 1, 40),
+    "flows_retraced": _retraced,
+    "line_diff_tally": lambda s, d: line_diff.tallies(_line_pairs(s, d), ["doc_id"]),
 }
 
 _MAIN = (
@@ -54,6 +107,13 @@ reach AS (SELECT door, count(*) AS n_reached FROM walk GROUP BY door)
 _RAW_ALL = "raw AS (SELECT * FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem) WHERE b IS NOT NULL AND a <> b)"
 _HEADER = "(['src', 'lib', 'vendor/src'])[{0} % 3 + 1] || '/d' || ({0} % 7) || '/h' || CASE WHEN {0} % 2 = 0 THEN {0} % 300 ELSE {0} END || '.h'"
 _PACKAGE = "CASE {0} % 3 WHEN 0 THEN 'src/core/p' WHEN 1 THEN 'core/p' ELSE 'p' END || ({0} % 40)"
+_ALL = _CALLS.replace("l_quantity >= 45", "true")
+_DEPENDS = (
+    _ALL
+    + """, counts AS (SELECT s.file_path AS source, t.file_path AS target, count(*) AS n FROM raw JOIN nodes s ON s.symbol_id = a JOIN nodes t ON t.symbol_id = b WHERE s.file_path <> t.file_path GROUP BY ALL),
+deps AS (SELECT x.source, x.target FROM counts x LEFT JOIN counts y ON x.source = y.target AND x.target = y.source WHERE x.n > coalesce(y.n, 0) QUALIFY row_number() OVER (PARTITION BY x.source ORDER BY x.n - coalesce(y.n, 0) DESC, x.target) <= 2),
+steps AS (SELECT DISTINCT split_part(target, '::', 1) AS n, file_path AS m FROM calls WHERE NOT is_bare AND split_part(target, '::', 1) <> file_path UNION SELECT target, source FROM deps)"""
+)
 _JAVA = rf"""WITH {_NODES}, java AS (SELECT *, regexp_replace(file_path, '\.py$', '/J' || (symbol_id // 100) || '.java') AS path FROM nodes),
 pairs AS (SELECT symbol_id AS p, path || '::K' || symbol_id || '.' || name AS source, lead(symbol_id) OVER w AS q, lead(name) OVER w AS target, path FROM java WINDOW w AS (PARTITION BY path ORDER BY symbol_id))
 SELECT source, target, 'dep' AS receiver, CASE WHEN {{0}} THEN path || '::' || CASE WHEN q % 5 = 0 THEN 'S' || q || CASE WHEN q % 2 = 0 THEN 'Activity' ELSE '' END ELSE 'K' || q END || '.' || target END AS found FROM pairs WHERE q IS NOT NULL"""
@@ -79,6 +139,26 @@ tried AS (SELECT file_path, m, i, CASE WHEN i = 0 THEN '' ELSE array_to_string(s
 SELECT file_path, 'python' AS language, array_to_string(m, '.') AS module, arg_max(f, i) AS found FROM tried JOIN files USING (f) GROUP BY ALL""",
     "di_resolution_spring": _JAVA.format("p % 3 <> 0"),
     "di_resolution_temporal": _JAVA.format("q % 4 = 0"),
+    "symbol_search": f"""WITH {_NODES}, asked AS (SELECT DISTINCT a, b FROM (SELECT string_split(lower(p_name), ' ') AS w, w[1] AS a, w[2] AS b FROM part) WHERE b IS NOT NULL),
+hits AS (SELECT a, b, qualified_name, CASE WHEN length(a) = 3 THEN 'substring' ELSE 'index' END AS how FROM asked JOIN nodes ON CASE WHEN length(a) = 3 THEN contains(lower(qualified_name), substr(a, 1, 2)) AND contains(lower(qualified_name), substr(b, 2))
+  ELSE list_contains(regexp_extract_all(lower(qualified_name), '[a-z0-9]+'), a) AND list_contains(regexp_extract_all(lower(qualified_name), '[a-z0-9]+'), b) END)
+SELECT a || '-' || b AS query_id, qualified_name AS id, how, row_number() OVER (PARTITION BY a, b ORDER BY qualified_name) AS place FROM hits QUALIFY place <= 20""",
+    "impact_bounded": f"""{_ALL}, steps AS (SELECT source AS n, target AS m FROM calls WHERE NOT is_bare UNION SELECT target, source FROM calls WHERE NOT is_bare), seeds AS (SELECT qualified_name AS n FROM nodes WHERE file_path = '{SEED_FILE}'),
+one AS (SELECT DISTINCT m AS n FROM steps JOIN seeds USING (n) WHERE m NOT IN (SELECT n FROM seeds)),
+two AS (SELECT DISTINCT m AS n FROM steps JOIN one USING (n) WHERE m NOT IN (SELECT n FROM seeds) AND m NOT IN (SELECT n FROM one) AND (SELECT count(*) FROM one) <= 200),
+found AS (SELECT n, 1 AS depth FROM one UNION ALL SELECT n, 2 FROM two)
+SELECT n AS node, CAST(depth AS INTEGER) AS depth, count(*) OVER () > 200 AS truncated, count(*) OVER () AS total FROM found QUALIFY row_number() OVER (ORDER BY depth, n) <= 200""",
+    "dependents_bounded": _DEPENDS
+    + """, one AS (SELECT n AS root, m FROM steps), over AS (SELECT root FROM one GROUP BY root HAVING count(*) > 60),
+two AS (SELECT DISTINCT o.root, s.m FROM one o JOIN steps s ON s.n = o.m WHERE s.m <> o.root AND o.root NOT IN (SELECT root FROM over) AND (o.root, s.m) NOT IN (SELECT (root, m) FROM one)),
+found AS (SELECT root, m, 1 AS depth FROM one UNION ALL SELECT root, m, 2 FROM two)
+SELECT root, m AS node, CAST(depth AS INTEGER) AS depth, count(*) OVER (PARTITION BY root) > 60 AS truncated, count(*) OVER (PARTITION BY root) AS total FROM found QUALIFY row_number() OVER (PARTITION BY root ORDER BY depth, m) <= 60""",
+    "ripple_bounded": _DEPENDS
+    + """, changed AS (SELECT DISTINCT file_path AS n FROM nodes WHERE symbol_id IN (SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders))),
+one AS (SELECT DISTINCT m FROM steps JOIN changed USING (n) WHERE m NOT IN (SELECT n FROM changed))
+SELECT m AS node, CAST(1 AS INTEGER) AS depth, count(*) OVER () > 40 AS truncated, count(*) OVER () AS total FROM one QUALIFY row_number() OVER (ORDER BY m) <= 40""",
+    "flows_retraced": catalogue.ORACLE_SQL["flow_nodes"],
+    "line_diff_tally": """SELECT doc_id, CAST(CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS added, CAST((n + 3) // 7 AS BIGINT) AS removed FROM (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents)""",
     "tour_doors": _MAIN + "SELECT module FROM doors",
     "tour_reach": _MAIN + "SELECT door, n_reached FROM reach",
     "tour_order": _MAIN

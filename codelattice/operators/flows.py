@@ -26,6 +26,27 @@ def flow_nodes(entries: DataFrame, calls: DataFrame, depth: int = 15) -> DataFra
     return seen.join(several, "entry", "left_semi")
 
 
+def to_retrace(flows: DataFrame, before: DataFrame, entries: DataFrame, nodes: DataFrame, changed: DataFrame) -> DataFrame:
+    """Entry points (qualified_name) whose flow must be traced again: those that weren't entry points before, and those whose stored flow or own file a changed file (file_path) is part of."""
+    homes = nodes.select(F.col("qualified_name").alias("node"), "file_path").join(changed.select("file_path").distinct(), "file_path", "left_semi").select("node")
+    touched = flows.join(homes, "node", "left_semi").select(F.col("entry").alias("qualified_name"))
+    new = entries.select("qualified_name").join(before.select("qualified_name"), "qualified_name", "left_anti")
+    own = entries.select("qualified_name").join(homes.toDF("qualified_name"), "qualified_name", "left_semi")
+    return new.union(own).union(entries.select("qualified_name").join(touched, "qualified_name", "left_semi")).distinct()
+
+
+def retrace(flows: DataFrame, before: DataFrame, entries: DataFrame, calls: DataFrame, nodes: DataFrame, changed: DataFrame, depth: int = 15) -> DataFrame:
+    """entry, node, depth after a change: the stored flows (entry, node, depth) that it leaves alone, and only the others traced anew.
+
+    before and entries: the entry points (qualified_name) then and now. Calls may differ only
+    where they stand in changed files (file_path). nodes must hold the symbols of then and now,
+    with their files. What was an entry point and is none any more loses its flow.
+    """
+    again = cut(to_retrace(flows, before, entries, nodes, changed))
+    kept = flows.join(entries.select(F.col("qualified_name").alias("entry")), "entry", "left_semi").join(again.select(F.col("qualified_name").alias("entry")), "entry", "left_anti")
+    return kept.select("entry", "node", "depth").union(flow_nodes(again, calls, depth).select("entry", "node", "depth"))
+
+
 def flow_depth(flows: DataFrame) -> DataFrame:
     return flows.groupBy("entry").agg(F.count("*").alias("n_nodes"), F.max("depth").alias("depth"))
 
