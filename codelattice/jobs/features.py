@@ -12,8 +12,9 @@ from codelattice.jobs.docs import _EDGES
 from codelattice.jobs.queries import _CALLS, _NODES, SEED_FILE
 from codelattice.operators import bounded, flows, graph, line_diff, order, resolution, search
 from codelattice.sources import docs as source
-from codelattice.sources import java_code, projection, trees
+from codelattice.sources import comments, java_code, projection, trees
 from codelattice.sources.storage import table
+from codelattice.streaming import watch
 
 
 def _modules(s: SparkSession, d: str) -> DataFrame:
@@ -75,6 +76,32 @@ def _line_pairs(s: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.array_join("lines", "\n").alias("before"), F.array_join(more, "\n").alias("after"))
 
 
+def _listings(s: SparkSession, d: str) -> DataFrame:
+    """snapshot, file_path, hash: after each month, the files that orders touched in it or the month before, with their latest order as their hash."""
+    months = projection.commits(s, d, None).select("file_path", "sha", F.trunc("ts", "month").alias("month"))
+    both = months.union(months.select("file_path", "sha", F.add_months("month", 1)))
+    last = months.groupBy().agg(F.max("month").alias("last"))
+    return both.join(F.broadcast(last)).where("month <= last").groupBy(F.col("month").alias("snapshot"), "file_path").agg(F.max("sha").cast("string").alias("hash"))
+
+
+def _commented(s: SparkSession, d: str) -> DataFrame:
+    """path, language, content: a C file per document, whose lines are comments by turns of four: a run of two, a string, a block behind code, a function."""
+    line = F.regexp_replace("x", "[^A-Za-z ]", "")
+    kind = F.col("i") % 5
+    text = F.when(kind < 2, F.concat(F.lit("// "), line)).when(kind == 2, F.concat(F.lit("void f"), F.col("i").cast("string"), F.lit("() { puts(\"// no /* "), line, F.lit("\"); }")))
+    text = text.when(kind == 3, F.concat(F.lit("int x; /* "), line, F.lit(" */"))).otherwise("")
+    rows = table(s, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "x")).select("doc_id", "i", text.alias("t"))
+    whole = rows.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("i", "t")))["t"], "\n").alias("content"))
+    return whole.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".c")).alias("path"), F.lit("c").alias("language"), "content")
+
+
+def _documented(s: SparkSession, d: str) -> DataFrame:
+    files = _commented(s, d)
+    found = comments.comments(files)
+    lines = files.select("path", F.size(F.split("content", "\n")).alias("n")).where("n >= 3").select("path", F.explode(F.sequence(F.lit(3), "n", F.lit(5))).alias("line_start"))
+    return comments.doc_above(lines, found).where("doc is not null")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tour_doors": lambda s, d: order.doors(source.main_imports(s, d)),
     "tour_reach": lambda s, d: order.door_reach(source.main_imports(s, d)),
@@ -90,6 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dependents_bounded": lambda s, d: bounded.dependents(_depends(s, d), projection.nodes(s, d), _modules(s, d).toDF("file_path"), 2, 60),
     "ripple_bounded": lambda s, d: bounded.ripple(_depends(s, d), projection.nodes(s, d), source.changed_symbols(s, d, days=0).select("file_path").distinct(), 1, 40),
     "flows_retraced": _retraced,
+    "listing_history": lambda s, d: watch.history(_listings(s, d)),
+    "doc_comments": _documented,
     "line_diff_tally": lambda s, d: line_diff.tallies(_line_pairs(s, d), ["doc_id"]),
 }
 
@@ -158,6 +187,18 @@ SELECT root, m AS node, CAST(depth AS INTEGER) AS depth, count(*) OVER (PARTITIO
 one AS (SELECT DISTINCT m FROM steps JOIN changed USING (n) WHERE m NOT IN (SELECT n FROM changed))
 SELECT m AS node, CAST(1 AS INTEGER) AS depth, count(*) OVER () > 40 AS truncated, count(*) OVER () AS total FROM one QUALIFY row_number() OVER (ORDER BY m) <= 40""",
     "flows_retraced": catalogue.ORACLE_SQL["flow_nodes"],
+    "listing_history": f"""WITH {_NODES}, touched AS (SELECT DISTINCT file_path, o_orderkey AS sha, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM lineitem JOIN nodes ON symbol_id = l_partkey JOIN orders ON o_orderkey = l_orderkey),
+both_months AS (SELECT * FROM touched UNION ALL SELECT file_path, sha, CAST(month + INTERVAL 1 MONTH AS DATE) FROM touched),
+states AS (SELECT month, file_path, CAST(max(sha) AS VARCHAR) AS hash FROM both_months WHERE month <= (SELECT max(month) FROM touched) GROUP BY ALL),
+ranked AS (SELECT month, row_number() OVER (ORDER BY month) AS place FROM (SELECT DISTINCT month FROM states)), placed AS (SELECT states.*, place FROM states JOIN ranked USING (month)),
+joined AS (SELECT coalesce(n.place, o.place + 1) AS place, coalesce(n.file_path, o.file_path) AS file_path, coalesce(n.hash, o.hash) AS hash, CASE WHEN o.hash IS NULL THEN 'created' WHEN n.hash IS NULL THEN 'deleted' WHEN n.hash <> o.hash THEN 'changed' END AS event
+  FROM placed n FULL JOIN placed o ON n.file_path = o.file_path AND n.place = o.place + 1)
+SELECT month AS snapshot, file_path, hash, event FROM joined JOIN ranked USING (place) WHERE event IS NOT NULL""",
+    "doc_comments": r"""WITH lines AS (SELECT doc_id, unnest(x) AS x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+plain AS (SELECT doc_id, i, trim(regexp_replace(x, '[^A-Za-z ]', '', 'g')) AS x FROM lines),
+coded AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents)
+SELECT 'd' || a.doc_id || '.c' AS path, CAST(a.i + 2 AS INTEGER) AS line_start, CASE WHEN a.x = '' THEN b.x WHEN b.x = '' THEN a.x ELSE a.x || chr(10) || b.x END AS doc
+FROM plain a JOIN plain b ON a.doc_id = b.doc_id AND b.i = a.i + 1 JOIN coded ON coded.doc_id = a.doc_id WHERE a.i % 5 = 1 AND coded.n > 2 AND (a.x <> '' OR b.x <> '')""",
     "line_diff_tally": """SELECT doc_id, CAST(CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS added, CAST((n + 3) // 7 AS BIGINT) AS removed FROM (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents)""",
     "tour_doors": _MAIN + "SELECT module FROM doors",
     "tour_reach": _MAIN + "SELECT door, n_reached FROM reach",

@@ -23,7 +23,7 @@ def con():
 def plain(column: str, value) -> str:
     if pd.isna(value):
         return ""
-    if column in ("day", "ts", "start", "last_ts"):
+    if column in ("day", "ts", "start", "last_ts", "snapshot"):
         return str(pd.Timestamp(value))
     return str(value) if isinstance(value, (bool, str)) else str(float(value))
 
