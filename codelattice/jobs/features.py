@@ -198,7 +198,7 @@ SELECT month AS snapshot, file_path, hash, event FROM joined JOIN ranked USING (
 plain AS (SELECT doc_id, i, trim(regexp_replace(x, '[^A-Za-z ]', '', 'g')) AS x FROM lines),
 coded AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents)
 SELECT 'd' || a.doc_id || '.c' AS path, CAST(a.i + 2 AS INTEGER) AS line_start, CASE WHEN a.x = '' THEN b.x WHEN b.x = '' THEN a.x ELSE a.x || chr(10) || b.x END AS doc
-FROM plain a JOIN plain b ON a.doc_id = b.doc_id AND b.i = a.i + 1 JOIN coded ON coded.doc_id = a.doc_id WHERE a.i % 5 = 1 AND coded.n > 2 AND (a.x <> '' OR b.x <> '')""",
+FROM plain a JOIN plain b ON a.doc_id = b.doc_id AND b.i = a.i + 1 JOIN coded ON coded.doc_id = a.doc_id WHERE a.i % 5 = 1 AND a.i + 2 <= coded.n AND (a.x <> '' OR b.x <> '')""",
     "line_diff_tally": """SELECT doc_id, CAST(CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS added, CAST((n + 3) // 7 AS BIGINT) AS removed FROM (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents)""",
     "tour_doors": _MAIN + "SELECT module FROM doors",
     "tour_reach": _MAIN + "SELECT door, n_reached FROM reach",
