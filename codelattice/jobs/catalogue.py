@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelattice.functions import marks
 from codelattice.jobs import queries as base
 from codelattice.jobs.queries import _CALLS, _COMMITS, _DAILY, _NODES, _RAW, _TESTED, SEED_FILE
 from codelattice.operators import flows, graph, history, ledger, lookup
@@ -14,8 +15,9 @@ from codelattice.sources import projection
 from codelattice.sources.storage import table
 from codelattice.streaming import ledger as streams
 
-SECURITY = ["hot", "gear", "bolt"]
-ENTRY_NAME = "^(main|run|start|hot_|red_)"
+#: The lists of the library, and what stands for them in the given tables.
+SECURITY = [*marks.SECURITY_WORDS, "hot", "gear", "bolt"]
+ENTRY_NAME = marks.any_of([*marks.ENTRY_NAMES, "^hot_", "^red_"])
 TEST_PATH = "(^|/)tests?/"
 
 
@@ -71,7 +73,7 @@ def queries_on(p) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "coverage_by_dir": lambda s, d: history.coverage_by_dir(p.documented(s, d)),
         "coverage_rollup": lambda s, d: history.coverage_rollup(p.documented(s, d)),
         "hotspots_hot": lambda s, d: history.hottest(p.commits(s, d)),
-        "hotspots_coupled": lambda s, d: history.coupled(p.commits(s, d), p.imports(s, d), least=2),
+        "hotspots_coupled": lambda s, d: history.coupled(p.commits(s, d), p.imports(s, d), share=20, least=2),
         "origins": lambda s, d: history.origins(p.commits(s, d), p.subjects(s, d)),
         "impact_edges": _impact_edges,
         "dependents_2hop": _dependents,
@@ -80,7 +82,7 @@ def queries_on(p) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "flow_depth": lambda s, d: flows.flow_depth(_flows(s, d)),
         "flow_criticality": _criticality,
         "flows_topk": lambda s, d: _criticality(s, d).orderBy(F.desc("criticality"), "entry").limit(20),
-        "affected_flows": lambda s, d: flows.touched_flows(_flows(s, d), p.nodes(s, d).where("symbol_id % 50 = 0")),
+        "affected_flows": lambda s, d: flows.touched_flows(_flows(s, d), graph.overlaps(p.nodes(s, d), p.diff_ranges(s, d))),
         "transitive_tests": lambda s, d: flows.tests_of(p.nodes(s, d).where("not is_test and file_path like 'src/economy/%'"), p.calls(s, d), graph.tested_by(p.calls(s, d))),
         "test_evidence": lambda s, d: flows.test_evidence(p.nodes(s, d), p.calls(s, d), graph.tested_by(p.calls(s, d))),
         "event_sliding": lambda s, d: ledger.sliding(table(s, d, "events")),
@@ -145,7 +147,7 @@ ORACLE_SQL: dict[str, str] = base.ORACLE_SQL | {
     "skip_docs_vs_resolver": _N + "SELECT DISTINCT file_path, contains('/' || file_path, '/tests/') AS docs_skip, contains(file_path, '/tests/') AS resolver_skip FROM nodes",
     "entry_name_match": _N + f"SELECT qualified_name FROM nodes WHERE regexp_matches(name, '{ENTRY_NAME}')",
     "test_file_match": _N + f"SELECT DISTINCT file_path FROM nodes WHERE regexp_matches(file_path, '{TEST_PATH}')",
-    "security_match": _N + "SELECT qualified_name FROM nodes WHERE regexp_matches(lower(name), 'hot|gear|bolt') OR regexp_matches(lower(qualified_name), 'hot|gear|bolt')",
+    "security_match": _N + "SELECT qualified_name FROM nodes WHERE regexp_matches(lower(name), '" + "|".join(SECURITY) + "') OR regexp_matches(lower(qualified_name), '" + "|".join(SECURITY) + "')",
     "hygiene_scan": f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{lookup.HYGIENE}')",
     "sanitize_names": r"SELECT doc_id, substring(regexp_replace(text, '[\x00-\x08\x0b-\x1f]', '', 'g'), 1, 256) AS name FROM documents",
     "call_targets_non_file": _EDGES + "SELECT DISTINCT target FROM edges WHERE source NOT IN (SELECT file_path FROM nodes)",
@@ -179,7 +181,7 @@ WHERE 20 * n >= least(u.n_commits, v.n_commits) AND NOT EXISTS (SELECT 1 FROM im
     "flow_depth": _FLOWS + "SELECT entry, count(*) AS n_nodes, max(depth) AS depth FROM flows GROUP BY entry",
     "flow_criticality": _CRITICAL + "SELECT * FROM critical",
     "flows_topk": _CRITICAL + "SELECT * FROM critical ORDER BY criticality DESC, entry LIMIT 20",
-    "affected_flows": _FLOWS + "SELECT entry, count(*) AS n_changed FROM flows WHERE node IN (SELECT qualified_name FROM nodes WHERE symbol_id % 50 = 0) GROUP BY entry",
+    "affected_flows": _FLOWS + "SELECT entry, count(*) AS n_changed FROM flows WHERE node IN (SELECT qualified_name FROM (" + base.ORACLE_SQL["changed_symbols_overlap"] + ")) GROUP BY entry",
     "transitive_tests": _CALLS
     + f""", direct AS (SELECT qualified_name AS q FROM nodes WHERE NOT is_test AND file_path LIKE 'src/economy/%'),
 either AS (SELECT q, false AS indirect FROM direct UNION ALL SELECT target, true FROM calls WHERE NOT is_bare AND source IN (SELECT q FROM direct))

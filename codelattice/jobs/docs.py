@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice.jobs import catalogue
+from codelattice.jobs.whole import DECORATED
 from codelattice.jobs.queries import _CALLS, _NODES, _RAW, _TESTED
 from codelattice.operators import docs, flows, graph, history, review
 from codelattice.sources import docs as source
@@ -29,7 +30,7 @@ def _no_pages(s: SparkSession) -> DataFrame:
 
 
 def _direct(s: SparkSession, d: str) -> DataFrame:
-    return docs.drift_direct(_pairs(s, d), _resolved(s, d), source.symbol_prints(s, d), source.changed_symbols(s, d), _no_pages(s))
+    return docs.drift_direct(_pairs(s, d), _resolved(s, d), source.symbol_prints(s, d), source.base_prints(s, d), source.changed_symbols(s, d).select("file_path"), _no_pages(s))
 
 
 def _ripple(s: SparkSession, d: str) -> DataFrame:
@@ -136,10 +137,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "anchor_sig_pairs": _pairs,
     "anchor_resolution": _resolved,
     "dangling_anchors": _dangling,
+    "bad_pins": lambda s, d: docs.bad_pins(source.anchor_tokens(s, d)),
+    "drift_notes": lambda s, d: docs.drift_notes(_pairs(s, d), _resolved(s, d), source.symbol_prints(s, d), source.base_prints(s, d), source.changed_symbols(s, d).select("file_path")),
     "drift_direct": _direct,
     "drift_ripple": _ripple,
     "freshness_diff": _freshness,
-    "gate_summary": lambda s, d: docs.gate(_freshness(s, d), _dangling(s, d), _direct(s, d), _ripple(s, d)),
+    "gate_summary": lambda s, d: docs.gate(_freshness(s, d), _dangling(s, d), _direct(s, d), _ripple(s, d), docs.bad_pins(source.anchor_tokens(s, d))),
     "stale_files": lambda s, d: projection.nodes(s, d).select("file_path").distinct().join(source.tracked(s, d), "file_path", "left_anti"),
     "undo_guard": _undo,
     "doc_mentions": _mentions,
@@ -168,9 +171,12 @@ authored AS (SELECT d.doc_id, 'docs/' || lang || '/' || source || '/' || d.doc_i
 _ANCHORS = f"""{_PAGES},
 tokens AS (SELECT page, 0 AS pos, 'sym:' || coalesce(name, 'ghost_' || doc_id) AS token FROM authored LEFT JOIN nodes ON symbol_id = doc_id
   UNION ALL SELECT page, 1, 'sig:' || substr(sha256(text), 1, 16) FROM authored WHERE pinned
-  UNION ALL SELECT page, 2, 'sym:' || name || '@' || file_path FROM authored JOIN nodes ON symbol_id = doc_id + 1),
-placed AS (SELECT page, last_value(CASE WHEN token LIKE 'sym:%' THEN token END IGNORE NULLS) OVER (PARTITION BY page ORDER BY pos) AS anchor, CASE WHEN token LIKE 'sig:%' THEN substr(token, 5) END AS sig FROM tokens),
-pairs AS (SELECT page, anchor, min(sig) AS sig, count(DISTINCT sig) AS n_sigs FROM placed WHERE anchor IS NOT NULL GROUP BY page, anchor),
+  UNION ALL SELECT page, 2, 'sym:' || name || '@' || file_path FROM authored JOIN nodes ON symbol_id = doc_id + 1
+  UNION ALL SELECT page, 3, CASE WHEN doc_id % 3 = 0 THEN 'sig:oops' WHEN doc_id % 3 = 1 THEN 'sym:' || coalesce(name, 'ghost_' || doc_id) ELSE 'sig:' || substr(sha256(text), 1, 16) END FROM authored LEFT JOIN nodes ON symbol_id = doc_id WHERE doc_id % 10 = 3
+  UNION ALL SELECT page, 4, 'sig:' || substr(sha256(page), 1, 16) FROM authored WHERE doc_id % 10 = 3 AND doc_id % 3 = 1),
+placed AS (SELECT page, pos, last_value(CASE WHEN token LIKE 'sym:%' THEN token END IGNORE NULLS) OVER (PARTITION BY page ORDER BY pos) AS anchor, CASE WHEN token LIKE 'sig:%' THEN substr(token, 5) END AS sig FROM tokens),
+pairs AS (SELECT page, anchor, arg_min(sig, pos) FILTER (length(sig) = 16) AS sig FROM placed WHERE anchor IS NOT NULL GROUP BY page, anchor),
+bad AS (SELECT page, 'sig:' || placed.sig AS token, CASE WHEN length(placed.sig) <> 16 THEN 'malformed' WHEN anchor IS NULL THEN 'orphaned' ELSE 'conflicting' END AS reason FROM placed LEFT JOIN pairs p USING (page, anchor) WHERE placed.sig IS NOT NULL AND (length(placed.sig) <> 16 OR anchor IS NULL OR placed.sig <> p.sig)),
 asked AS (SELECT DISTINCT anchor, split_part(substr(anchor, 5), '@', 1) AS name, split_part(substr(anchor, 5), '@', 2) AS path FROM pairs),
 sites AS (SELECT a.anchor, a.name, a.path, n.qualified_name, n.file_path, n.is_test, bool_or(NOT n.is_test) OVER (PARTITION BY a.anchor) AS live FROM asked a LEFT JOIN nodes n ON n.name = a.name),
 fitting AS (SELECT *, qualified_name IS NOT NULL AND (NOT live OR NOT is_test) AND (path = '' OR file_path = path OR file_path LIKE '%/' || path) AS fits FROM sites),
@@ -178,11 +184,11 @@ resolved AS (SELECT anchor, CASE WHEN name = '' THEN 'malformed' WHEN n_sites =
   CASE WHEN n_sites = 1 THEN q END AS qualified_name, CASE WHEN n_sites = 1 THEN f END AS file_path
   FROM (SELECT anchor, name, count(*) FILTER (fits) AS n_sites, min(qualified_name) FILTER (fits) AS q, min(file_path) FILTER (fits) AS f FROM fitting GROUP BY anchor, name)),
 dangling AS (SELECT anchor, status, count(DISTINCT page) AS n_pages, min(page) AS first_page FROM pairs JOIN resolved USING (anchor) WHERE status <> 'ok' GROUP BY anchor, status),
-prints AS (SELECT qualified_name, {_PRINT} AS fingerprint FROM nodes JOIN documents ON doc_id = symbol_id),
+prints AS (SELECT qualified_name, {_PRINT} AS fingerprint, CASE WHEN symbol_id % 4 <> 0 THEN {_PRINT.replace('text', 'lower(text)')} ELSE {_PRINT} END AS base FROM nodes JOIN documents ON doc_id = symbol_id),
 changed AS (SELECT * FROM nodes WHERE symbol_id IN (SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 2 DAY)),
 direct AS (SELECT page, file_path, min(anchor) AS anchor FROM (
   SELECT page, file_path, anchor FROM pairs JOIN resolved USING (anchor) JOIN prints USING (qualified_name) WHERE status = 'ok' AND sig IS NOT NULL AND fingerprint <> sig
-  UNION ALL SELECT page, file_path, anchor FROM pairs JOIN resolved USING (anchor) WHERE status = 'ok' AND sig IS NULL AND qualified_name IN (SELECT qualified_name FROM changed)) GROUP BY page, file_path)
+  UNION ALL SELECT page, file_path, anchor FROM pairs JOIN resolved USING (anchor) JOIN prints USING (qualified_name) WHERE status = 'ok' AND sig IS NULL AND fingerprint <> base AND file_path IN (SELECT file_path FROM changed)) GROUP BY page, file_path)
 """
 _RIPPLE = """, names AS (SELECT name, qualified_name FROM nodes WHERE file_path IN (SELECT file_path FROM changed)),
 dependents AS (SELECT DISTINCT file_path FROM calls WHERE CASE WHEN is_bare THEN target IN (SELECT name FROM names) ELSE target IN (SELECT qualified_name FROM names) END AND file_path NOT IN (SELECT file_path FROM changed)),
@@ -220,25 +226,30 @@ _USD = "CAST(round(sum(CAST(value AS DECIMAL(38,6))), 2) AS DOUBLE)"
 _TOK = "CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT)"
 
 ORACLE_SQL: dict[str, str] = {
-    "anchor_sig_pairs": _DOCS + "SELECT page, anchor, sig, n_sigs FROM pairs",
+    "anchor_sig_pairs": _DOCS + "SELECT page, anchor, sig FROM pairs",
     "anchor_resolution": _DOCS + "SELECT anchor, status, n_sites, qualified_name, file_path FROM resolved",
     "dangling_anchors": _DOCS + "SELECT anchor, status, n_pages, first_page FROM dangling",
+    "bad_pins": _DOCS + "SELECT page, token, reason FROM bad",
+    "drift_notes": _DOCS
+    + """SELECT DISTINCT anchor, CASE WHEN status <> 'ok' THEN 'unresolved' WHEN sig IS NOT NULL THEN 'unverifiable' ELSE 'unreadable' END AS note FROM pairs JOIN resolved USING (anchor) LEFT JOIN prints USING (qualified_name)
+WHERE status <> 'ok' OR (fingerprint IS NULL AND (sig IS NOT NULL OR file_path IN (SELECT file_path FROM changed)))""",
     "drift_direct": _DOCS + "SELECT page, file_path, anchor FROM direct",
     "drift_ripple": f"{_ALL_CALLS}, {_ANCHORS} {_RIPPLE} SELECT page, file_path, anchor FROM ripple",
     "freshness_diff": f"WITH {_PAGES} {_FRESH} SELECT page, status FROM fresh",
     "gate_summary": f"""{_ALL_CALLS}, {_ANCHORS} {_RIPPLE} {_FRESH}, n AS (SELECT (SELECT count(*) FROM fresh WHERE status <> 'orphan') AS n_stale, (SELECT count(*) FROM fresh WHERE status = 'orphan') AS n_orphan,
-  (SELECT count(*) FROM dangling) AS n_dangling, (SELECT count(*) FROM direct) AS n_direct, (SELECT count(*) FROM ripple) AS n_ripple)
-SELECT *, CAST((n_stale + n_orphan > 0) AS INTEGER) + CAST((n_dangling > 0) AS INTEGER) + CAST((n_direct > 0) AS INTEGER) AS failures FROM n""",
+  (SELECT count(*) FROM dangling) AS n_dangling, (SELECT count(*) FROM bad) AS n_bad, (SELECT count(*) FROM direct) AS n_direct, (SELECT count(*) FROM ripple) AS n_ripple)
+SELECT *, CAST((n_stale + n_orphan > 0) AS INTEGER) + CAST((n_dangling + n_bad > 0) AS INTEGER) + CAST((n_direct > 0) AS INTEGER) AS failures FROM n""",
     "stale_files": f"WITH {_NODES}, {_TRACKED} SELECT DISTINCT file_path FROM nodes WHERE file_path NOT IN (SELECT file_path FROM tracked)",
     "undo_guard": f"""WITH {_PAGES} {_FRESH} SELECT a.page, CASE WHEN d IS NULL THEN 'gone' WHEN d = {_PRINT} THEN 'restore' ELSE 'refuse' END AS action FROM authored a LEFT JOIN disk ON a.page = disk.page""",
     "doc_mentions": r"""WITH modules AS (SELECT DISTINCT 'src/' || regexp_replace(w, '[.]+$', '') AS module FROM (SELECT unnest(regexp_extract_all(html, 'href="/([A-Za-z0-9_./-]+)"', 1)) AS w FROM pages) WHERE regexp_replace(w, '[.]+$', '') <> ''),
 lone AS (SELECT module, token FROM (SELECT module, regexp_extract(module, '[^/]*$') AS token, count(*) OVER (PARTITION BY regexp_extract(module, '[^/]*$')) AS n FROM modules) WHERE n = 1 AND token <> module),
 names AS (SELECT module, module AS token FROM modules UNION ALL SELECT * FROM lone),
-words AS (SELECT DISTINCT page_id AS page, regexp_replace(t, '[.]+$', '') AS token FROM (SELECT page_id, unnest(regexp_extract_all(html, '[A-Za-z0-9_./-]+')) AS t FROM pages))
+runs AS (SELECT DISTINCT page_id AS page, unnest(regexp_extract_all(html, '[\pL\pN_./-]+')) AS t FROM pages),
+words AS (SELECT DISTINCT page, unnest([t[:i] FOR i IN range(1, len(t) + 1) IF i = len(t) OR t[i + 1] IN ('.', '/')]) AS token FROM runs)
 SELECT DISTINCT module, page FROM words JOIN names USING (token)""",
     "incremental_replace": f"""WITH {_NODES}, {_TRACKED}, touched AS (SELECT file_path FROM nodes WHERE symbol_id IN (SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 2 DAY))
 SELECT file_path, qualified_name, line_start + CASE WHEN file_path IN (SELECT file_path FROM touched) THEN 1 ELSE 0 END AS line_start FROM nodes WHERE file_path IN (SELECT file_path FROM tracked)""",
-    "decorator_match": f"WITH {_NODES} SELECT qualified_name FROM nodes WHERE kind = 'Function' AND symbol_id % 37 = 0",
+    "decorator_match": f"WITH {_NODES} SELECT qualified_name FROM nodes WHERE kind = 'Function' AND {DECORATED}",
     "node_dict": f"WITH {_NODES} SELECT symbol_id AS id, kind, substr(name, 1, 256) AS name, substr(qualified_name, 1, 256) AS qualified_name, file_path, line_start, line_end, language, is_test FROM nodes",
     "brief_index": f"""{_ALL_CALLS}, users AS (SELECT split_part(target, '::', 1) AS file_path, count(DISTINCT file_path) AS n_users FROM calls WHERE NOT is_bare AND split_part(target, '::', 1) <> file_path GROUP BY 1)
 SELECT n.file_path, count(*) AS n_symbols, min(qualified_name) AS first_symbol, coalesce(any_value(n_users), 0) AS n_users FROM nodes n LEFT JOIN documents ON doc_id = symbol_id LEFT JOIN users u ON u.file_path = n.file_path WHERE NOT is_test AND text IS NULL GROUP BY n.file_path""",

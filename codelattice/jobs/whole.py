@@ -34,8 +34,10 @@ RELATIONS = SimpleNamespace(
 )
 #: What the SQL of the cut relations filters by.
 CUTS = ("l_quantity >= 45", "l_quantity >= 49", "l_shipdate >= TIMESTAMP '2001-10-15'")
+#: Symbols with a framework's decorator, by the turns of projection.DECORATORS.
+DECORATED = "(symbol_id % 7 < 2 AND symbol_id % 12 IN (0, 2, 4, 6, 8, 9) OR symbol_id % 7 = 1 AND symbol_id // 12 % 12 IN (0, 2, 4, 6, 8, 9))"
 #: The other two rules of an entry point.
-ENTRIES = """ UNION SELECT qualified_name FROM nodes WHERE kind = 'Function' AND (regexp_matches(name, '{}') OR symbol_id % 37 = 0)"""
+ENTRIES = """ UNION SELECT qualified_name FROM nodes WHERE kind = 'Function' AND (regexp_matches(name, '{}') OR {})"""
 #: Their recursive SQL walks every path, which DuckDB doesn't end over all lines.
 FLOWS = ("flow_nodes", "flow_depth", "flow_criticality", "flows_topk", "affected_flows")
 
@@ -62,4 +64,4 @@ _on["entry_points"] = entries
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"{name}_whole": _on[name] for name in _names}
 
 ORACLE_SQL: dict[str, str] = {f"{name}_whole": _uncut(catalogue.ORACLE_SQL[name]) for name in _names if name not in FLOWS}
-ORACLE_SQL["entry_points_whole"] += ENTRIES.format(catalogue.ENTRY_NAME)
+ORACLE_SQL["entry_points_whole"] += ENTRIES.format(catalogue.ENTRY_NAME, DECORATED)

@@ -40,7 +40,7 @@ def hottest(commits: DataFrame, top: int = 5) -> DataFrame:
     return churn(small_commits(commits)).where("n_commits >= 2").orderBy(F.desc("n_commits"), "file_path").limit(top).select("file_path", "n_commits")
 
 
-def coupled(commits: DataFrame, imports: DataFrame, *, share: int = 20, least: int = 3, top: int = 5) -> DataFrame:
+def coupled(commits: DataFrame, imports: DataFrame, *, share: int = 2, least: int = 3, top: int = 5) -> DataFrame:
     """Pairs that change together without an import between them: n >= least and share * n >= the smaller churn."""
     small = small_commits(commits)
     counts = churn(small).select("file_path", "n_commits")

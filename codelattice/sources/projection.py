@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codelattice.functions import marks
 from codelattice.sources.storage import table
 
 
@@ -95,9 +96,21 @@ def documented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).where("not is_test").join(texts, "symbol_id", "left").select("qualified_name", "file_path", "doc")
 
 
+#: Decorators that symbols have by turns; the framework's are those at 0, 2, 4, 6, 8 and 9.
+DECORATORS = ['app.get("/x")', "functools.cache", "pytest.mark.slow", "property", "Router.Post", "staticmethod", "receiver(saved)", "dataclass", "tool", "bp.route('/')", "my_tool.helper", "Pytest.Mark"]
+
+
+def decorators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qualified_name, decorators (array): two of every seven symbols have one or two."""
+    k = F.col("symbol_id")
+    listed = F.array(*(F.lit(d) for d in DECORATORS))
+    first, second = F.get(listed, (k % 12).cast("int")), F.get(listed, (F.floor(k / 12) % 12).cast("int"))
+    return nodes(spark, sf_dir).select("qualified_name", F.when(k % 7 == 0, F.array(first)).when(k % 7 == 1, F.array(first, second)).alias("decorators"))
+
+
 def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qualified_name of the symbols that FIXTURES.md gives the decorator app.get."""
-    return nodes(spark, sf_dir).where("symbol_id % 37 = 0").select("qualified_name")
+    """qualified_name of the symbols with a framework's decorator."""
+    return decorators(spark, sf_dir).where(marks.entry_decorator(F.col("decorators"))).select("qualified_name")
 
 
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:

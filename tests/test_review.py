@@ -6,6 +6,7 @@ import pytest
 from codelattice.operators import docs, order, review
 
 SF = "/root/testdata/sf0.001"
+PIN = {c: c * 16 for c in "abcd"}
 NODES = "name string, qualified_name string, file_path string, is_test boolean"
 
 
@@ -14,9 +15,11 @@ def nodes(spark, rows):
 
 
 def test_pins_bind_to_the_anchor_before_them(spark):
-    rows = [("p", 0, "sig:aa"), ("p", 1, "sym:a"), ("p", 2, "sig:bb"), ("p", 3, "sym:b"), ("q", 0, "sym:a"), ("q", 1, "sig:cc"), ("q", 2, "sym:a"), ("q", 3, "sig:dd"), ("r", 0, None)]
+    rows = [("p", 0, "sig:" + PIN["a"]), ("p", 1, "sym:a"), ("p", 2, "sig:" + PIN["b"]), ("p", 3, "sym:b"), ("q", 0, "sym:a"), ("q", 1, "sig:" + PIN["d"]), ("q", 2, "sym:a"), ("q", 3, "sig:" + PIN["c"]), ("q", 4, "sig:short"), ("r", 0, None)]
     found = docs.anchor_pairs(spark.createDataFrame(rows, "page string, pos int, token string"))
-    assert sorted(map(tuple, found.collect()), key=repr) == [("p", "sym:a", "bb", 1), ("p", "sym:b", None, 0), ("q", "sym:a", "cc", 2)]
+    assert sorted(map(tuple, found.collect()), key=repr) == [("p", "sym:a", PIN["b"]), ("p", "sym:b", None), ("q", "sym:a", PIN["d"])]
+    bad = docs.bad_pins(spark.createDataFrame(rows, "page string, pos int, token string"))
+    assert sorted(map(tuple, bad.collect())) == [("p", "sig:" + PIN["a"], "orphaned"), ("q", "sig:" + PIN["c"], "conflicting"), ("q", "sig:short", "malformed")]
 
 
 def test_anchor_ladder(spark):
@@ -31,16 +34,18 @@ def test_anchor_ladder(spark):
 
 
 def test_drift(spark):
-    pairs = spark.createDataFrame([("p1", "sym:a", "old", 1), ("p2", "sym:a", "new", 1), ("p3", "sym:a", None, 0), ("p4", "sym:b", None, 0), ("p5", "sym:a", None, 0), ("p6", "sym:ghost", None, 0)], "page string, anchor string, sig string, n_sigs int")
-    resolved = spark.createDataFrame([("sym:a", "ok", 1, "f::a", "f"), ("sym:b", "ok", 1, "g::b", "g"), ("sym:ghost", "missing", 0, None, None)], "anchor string, status string, n_sites int, qualified_name string, file_path string")
-    prints = spark.createDataFrame([("f::a", "new")], "qualified_name string, fingerprint string")
-    changed = spark.createDataFrame([("f::a", "f"), ("f::a", "f")], "qualified_name string, file_path string")
+    pairs = spark.createDataFrame([("p1", "sym:a", "old"), ("p2", "sym:a", "new"), ("p3", "sym:a", None), ("p4", "sym:b", None), ("p5", "sym:a", None), ("p6", "sym:ghost", None), ("p7", "sym:c", None), ("p8", "sym:d", None), ("p9", "sym:e", "x")], "page string, anchor string, sig string")
+    resolved = spark.createDataFrame([("sym:a", "ok", 1, "f::a", "f"), ("sym:b", "ok", 1, "g::b", "g"), ("sym:ghost", "missing", 0, None, None), ("sym:c", "ok", 1, "f::c", "f"), ("sym:d", "ok", 1, "f::d", "f"), ("sym:e", "ok", 1, "h::e", "h")], "anchor string, status string, n_sites int, qualified_name string, file_path string")
+    prints = spark.createDataFrame([("f::a", "new"), ("f::c", "same"), ("f::d", "made"), ("g::b", "y")], "qualified_name string, fingerprint string")
+    base = spark.createDataFrame([("f::a", "old"), ("f::c", "same"), ("g::b", "z")], prints.schema)
+    changed = spark.createDataFrame([("f",), ("f",)], "file_path string")
     pages = spark.createDataFrame([("p5",)], "page string")
-    assert sorted(r.page for r in docs.drift_direct(pairs, resolved, prints, changed, pages).collect()) == ["p1", "p3"]
+    assert sorted(r.page for r in docs.drift_direct(pairs, resolved, prints, base, changed, pages).collect()) == ["p1", "p3"]
     dependents = spark.createDataFrame([("g",), ("f",)], "file_path string")
     assert [r.page for r in docs.drift_ripple(pairs, resolved, changed, dependents, pages).collect()] == ["p4"]
+    assert sorted(map(tuple, docs.drift_notes(pairs, resolved, prints, base, changed).collect())) == [("sym:d", "new"), ("sym:e", "unverifiable"), ("sym:ghost", "unresolved")]
     none = changed.limit(0)
-    assert [r.page for r in docs.drift_direct(pairs, resolved, prints, none, pages).collect()] == ["p1"]
+    assert [r.page for r in docs.drift_direct(pairs, resolved, prints, base, none, pages).collect()] == ["p1"]
 
 
 def test_gate_of_nothing_passes(spark):
@@ -55,9 +60,9 @@ def test_gate_of_nothing_passes(spark):
 
 
 def test_mentions_are_whole_paths(spark):
-    modules = spark.createDataFrame([("src/key.c",), ("lib/a/util.c",), ("lib/b/util.c",)], "module string")
-    pages = spark.createDataFrame([(1, "see src/key.c."), (2, "vendor/src/key.c"), (3, "key.c, and util.c"), (4, "lib/a/util.c"), (5, None), (6, ""), (7, "key.c-old key.cc")], "page int, text string")
-    assert sorted(map(tuple, docs.mentions(pages, modules).collect())) == [("lib/a/util.c", 4), ("src/key.c", 1), ("src/key.c", 3)]
+    modules = spark.createDataFrame([("src/key.c",), ("lib/a/util.c",), ("lib/b/util.c",), ("src/c++/odd name.cc",), ("größe.c",), ("@scope/x.js",)], "module string")
+    pages = spark.createDataFrame([(1, "see src/key.c."), (2, "vendor/src/key.c"), (3, "key.c, and util.c"), (4, "lib/a/util.c"), (5, None), (6, ""), (7, "key.c-old key.cc"), (8, "src/key.c.bak src/key.c"), (9, "(src/c++/odd name.cc)"), (10, "xsrc/c++/odd name.cc größe.cc"), (11, "größe.c!"), (12, "use @scope/x.js.map"), (13, "src/c++/odd name.cc_"), (14, "<!-- generated --> src/key.c")], "page int, text string")
+    assert sorted(map(tuple, docs.mentions(pages, modules).collect())) == [("@scope/x.js", 12), ("größe.c", 11), ("lib/a/util.c", 4), ("src/c++/odd name.cc", 9), ("src/key.c", 1), ("src/key.c", 3), ("src/key.c", 8)]
 
 
 def test_undo(spark):
