@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codelattice.jobs import catalogue
 from codelattice.jobs.docs import _EDGES
 from codelattice.jobs.queries import _CALLS, _NODES, SEED_FILE
-from codelattice.operators import bounded, flows, graph, line_diff, order, resolution, search
+from codelattice.operators import bounded, flows, graph, history, line_diff, order, pages, resolution, search
 from codelattice.sources import docs as source
 from codelattice.sources import comments, java_code, projection, trees
 from codelattice.sources.storage import table
@@ -102,6 +102,21 @@ def _documented(s: SparkSession, d: str) -> DataFrame:
     return comments.doc_above(lines, found).where("doc is not null")
 
 
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    """Every module's page: origins, main imports, symbols with the text of their document's first line, callers and callees by resolved calls."""
+    calls = projection.calls(s, d, None).where("not is_bare")
+    named = lambda c: F.element_at(F.split(c, "[.]"), -1)
+    into = calls.groupBy(F.col("target").alias("qualified_name")).agg(F.array_sort(F.collect_set(named("source"))).alias("callers"))
+    out = calls.groupBy(F.col("source").alias("qualified_name")).agg(F.array_sort(F.collect_set(named("target"))).alias("callees"))
+    texts = table(s, d, "documents").select(F.col("doc_id").alias("symbol_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("doc"))
+    symbols = projection.nodes(s, d).join(texts, "symbol_id", "left").join(into, "qualified_name", "left").join(out, "qualified_name", "left")
+    symbols = symbols.select(F.col("file_path").alias("module"), "name", F.lit(None).cast("string").alias("signature"), F.col("line_start").alias("line"), (F.col("kind") == "Function").alias("is_member"), "doc", "callers", "callees", F.array(F.lit("works")).alias("tested"))
+    modules = _modules(s, d).join(history.origins(projection.commits(s, d, None), projection.subjects(s, d)).select(F.col("file_path").alias("module"), "origin"), "module", "left")
+    told = _modules(s, d).where("module like '%1.py'").select("module", F.explode(F.array(F.lit("docs/architecture/a.md"), F.lit("docs/b.md"), F.lit("c.md"))).alias("page"))
+    flow = source.main_imports(s, d).select(F.col("source").alias("module"), F.regexp_extract("source", r"([^/]+)\.py$", 1).alias("a"), F.regexp_extract("target", r"([^/]+)\.py$", 1).alias("b"))
+    return pages.render(modules.withColumn("doc", F.lit(None).cast("string")), source.main_imports(s, d), symbols, told, flow)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tour_doors": lambda s, d: order.doors(source.main_imports(s, d)),
     "tour_reach": lambda s, d: order.door_reach(source.main_imports(s, d)),
@@ -119,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flows_retraced": _retraced,
     "listing_history": lambda s, d: watch.history(_listings(s, d)),
     "doc_comments": _documented,
+    "page_render": _pages,
     "line_diff_tally": lambda s, d: line_diff.tallies(_line_pairs(s, d), ["doc_id"]),
 }
 
@@ -147,6 +163,28 @@ _JAVA = rf"""WITH {_NODES}, java AS (SELECT *, regexp_replace(file_path, '\.py$'
 pairs AS (SELECT symbol_id AS p, path || '::K' || symbol_id || '.' || name AS source, lead(symbol_id) OVER w AS q, lead(name) OVER w AS target, path FROM java WINDOW w AS (PARTITION BY path ORDER BY symbol_id))
 SELECT source, target, 'dep' AS receiver, CASE WHEN {{0}} THEN path || '::' || CASE WHEN q % 5 = 0 THEN 'S' || q || CASE WHEN q % 2 = 0 THEN 'Activity' ELSE '' END ELSE 'K' || q END || '.' || target END AS found FROM pairs WHERE q IS NOT NULL"""
 
+_SLUG = r"regexp_replace(replace({0}, '/', '.'), '\.py$', '')"
+_STEM = r"regexp_extract({0}, '([^/]+)\.py$', 1)"
+_PAGE = (
+    _MAIN
+    + f""", calls AS (SELECT DISTINCT s.qualified_name AS source, t.qualified_name AS target, s.name AS caller, t.name AS callee FROM raw JOIN nodes s ON s.symbol_id = a JOIN nodes t ON t.symbol_id = b WHERE (a + b) % 5 <> 0),
+i AS (SELECT target AS q, '**called by** ' || string_agg('`' || caller || '`', ', ' ORDER BY caller) AS into_it FROM (SELECT DISTINCT target, caller FROM calls) GROUP BY target),
+o AS (SELECT source AS q, '**calls** ' || string_agg('`' || callee || '`', ', ' ORDER BY callee) AS out_of_it FROM (SELECT DISTINCT source, callee FROM calls) GROUP BY source),
+told AS (SELECT n.file_path AS module, n.name, line_start AS line, kind, trim(coalesce(split_part(text, chr(10), 1), ''), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS doc, concat_ws('  ·  ', into_it, out_of_it) AS refs FROM nodes n LEFT JOIN documents ON doc_id = symbol_id LEFT JOIN i ON i.q = n.qualified_name LEFT JOIN o ON o.q = n.qualified_name),
+api AS (SELECT module, string_agg(CASE WHEN kind = 'Function' THEN '####' ELSE '###' END || ' `' || name || '`' || chr(10) || '`' || module || ':' || line || '`' || chr(10) || chr(10) || doc || CASE WHEN refs <> '' THEN chr(10) || chr(10) || refs ELSE '' END || chr(10) || chr(10), '' ORDER BY line, name) AS api FROM told WHERE doc <> '' GROUP BY module),
+bare AS (SELECT module, count(*) AS n_bare, string_agg('- `' || name || '` — tested: works' || chr(10), '' ORDER BY line, name) AS bare FROM told WHERE doc = '' GROUP BY module),
+touched AS (SELECT DISTINCT l_orderkey AS sha, o_orderdate AS ts, o_orderpriority AS subject, file_path FROM lineitem JOIN nodes ON symbol_id = l_partkey JOIN orders ON o_orderkey = l_orderkey),
+origin AS (SELECT file_path AS module, arg_min(subject, struct_pack(t := ts, s := sha)) AS origin FROM touched WHERE sha IN (SELECT sha FROM touched GROUP BY sha HAVING count(*) <= 8) GROUP BY file_path),
+ahead AS (SELECT source AS module, '**depends on** ' || string_agg('[`' || target || '`](' || {_SLUG.format("target")} || '.md)', ', ' ORDER BY target) AS ahead, string_agg(DISTINCT '  ' || {_STEM.format("source")} || ' --> ' || {_STEM.format("target")} || chr(10), '' ORDER BY '  ' || {_STEM.format("source")} || ' --> ' || {_STEM.format("target")} || chr(10)) AS drawn FROM deps GROUP BY source),
+back AS (SELECT target AS module, '**used by** ' || string_agg('[`' || source || '`](' || {_SLUG.format("source")} || '.md)', ', ' ORDER BY source) AS back FROM deps GROUP BY target),
+linked AS (SELECT m.module, concat_ws('  ·  ', ahead, back, CASE WHEN m.module LIKE '%1.py' THEN '**discussed in** [`c.md`](../../c.md), [`docs/architecture/a.md`](a.md), [`docs/b.md`](../b.md)' END) AS links, drawn, origin, api, bare, n_bare
+  FROM modules m LEFT JOIN ahead USING (module) LEFT JOIN back USING (module) LEFT JOIN origin USING (module) LEFT JOIN api USING (module) LEFT JOIN bare USING (module)),
+whole AS (SELECT module, '{pages.FIRST_LINE}' || chr(10) || '# `' || module || '`' || chr(10) || chr(10) || CASE WHEN origin <> '' THEN '*No module docstring. First commit: "' || origin || '".*' || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN links <> '' THEN links || chr(10) || chr(10) ELSE '' END || CASE WHEN drawn <> '' THEN '```mermaid' || chr(10) || 'flowchart TD' || chr(10) || drawn || '```' || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN api <> '' THEN '## API' || chr(10) || chr(10) || api ELSE '' END || CASE WHEN bare <> '' THEN '<details><summary>Undocumented (' || n_bare || ')</summary>' || chr(10) || chr(10) || bare || chr(10) || '</details>' || chr(10) || chr(10) ELSE '' END AS t FROM linked)
+SELECT module, {_SLUG.format("module")} || '.md' AS page, substr(t, 1, length(t) - 1) AS text FROM whole"""
+)
+
 ORACLE_SQL: dict[str, str] = {
     "package_suffix_join": f"""WITH {_NODES}, {_RAW_ALL}, dirs AS (SELECT DISTINCT {_PACKAGE.format("symbol_id")} AS dir FROM nodes),
 asked AS (SELECT DISTINCT {_PACKAGE.format("a")} || '/f' || a || '.go' AS source, CASE WHEN a % 2 = 0 THEN 'git.example/x/src/core/' WHEN a % 5 = 0 THEN 'git.example/xcore/' ELSE 'git.example/core/' END || 'p' || (b % 45) AS target FROM raw)
@@ -199,6 +237,7 @@ plain AS (SELECT doc_id, i, trim(regexp_replace(x, '[^A-Za-z ]', '', 'g')) AS x
 coded AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents)
 SELECT 'd' || a.doc_id || '.c' AS path, CAST(a.i + 2 AS INTEGER) AS line_start, CASE WHEN a.x = '' THEN b.x WHEN b.x = '' THEN a.x ELSE a.x || chr(10) || b.x END AS doc
 FROM plain a JOIN plain b ON a.doc_id = b.doc_id AND b.i = a.i + 1 JOIN coded ON coded.doc_id = a.doc_id WHERE a.i % 5 = 1 AND a.i + 2 <= coded.n AND (a.x <> '' OR b.x <> '')""",
+    "page_render": _PAGE,
     "line_diff_tally": """SELECT doc_id, CAST(CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS added, CAST((n + 3) // 7 AS BIGINT) AS removed FROM (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents)""",
     "tour_doors": _MAIN + "SELECT module FROM doors",
     "tour_reach": _MAIN + "SELECT door, n_reached FROM reach",
