@@ -62,7 +62,12 @@ class _Walk(ast.NodeVisitor):
         source = "\n".join(self.lines[node.lineno - 1 : node.end_lineno])
         if kind == "Function" and self.test_file and node.name.startswith("test"):
             kind = "Test"
-        signature = f"class {node.name}" if kind == "Class" else f"def {node.name}({ast.unparse(node.args)})"
+        dotted = qualified.split("::", 1)[1]
+        if kind == "Class":
+            bases = ", ".join(map(ast.unparse, node.bases))
+            signature = f"class {dotted}({bases})" if bases else f"class {dotted}"
+        else:
+            signature = f"{dotted}({ast.unparse(node.args)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
         indent = len(source) - len(source.lstrip())
         flat = "\n".join(x[indent:] if x[:indent].isspace() else x for x in source.split("\n"))
         self._row("node", kind=kind, name=node.name, parent=parent or None, qualified_name=qualified, line_start=node.lineno, line_end=node.end_lineno, is_test=self.test_file, signature=signature, doc=ast.get_docstring(node), decorators=decorators, fingerprint=span_fingerprint(flat))
@@ -74,11 +79,11 @@ class _Walk(ast.NodeVisitor):
         for d in node.decorator_list:
             self.visit(d)
         owner, self.owner = self.owner, self.owner if kind == "Class" else qualified
-        self.parents.append(node.name)
+        # only classes name what they hold; a function in a function stands by itself
+        parents, self.parents = self.parents, [*self.parents, node.name] if kind == "Class" else []
         for child in node.body:
             self.visit(child)
-        self.parents.pop()
-        self.owner = owner
+        self.parents, self.owner = parents, owner
 
     def visit_ClassDef(self, node):
         self._symbol(node, "Class")

@@ -77,7 +77,7 @@ def test_extraction(spark):
     found = {r.qualified_name: r for r in python_code.symbols(rows).collect()}
     assert {q: r.kind for q, r in found.items() if r.file_path == "src/a.py"} == {"src/a.py": "File", "src/a.py::route": "Function", "src/a.py::Base": "Class", "src/a.py::Base.local": "Function", "src/a.py::Base.other2": "Function", "src/a.py::local": "Function"}
     route = found["src/a.py::route"]
-    assert (route.signature, route.decorators, route.line_start, route.line_end) == ("def route(x, *, y=1)", ["app.get"], 6, 10) and route.doc.startswith("Answers.")
+    assert (route.signature, route.decorators, route.line_start, route.line_end) == ("route(x, *, y=1)", ["app.get"], 6, 10) and route.doc.startswith("Answers.")
     assert found["src/a.py"].doc == "Module." and found["tests/test_a.py::test_f"].kind == "Test" and found["tests/test_a.py::helper"].kind == "Function"
     assert {"bad.py", "none.py", "empty.py"} <= set(found) and sum(r.file_path == "bad.py" for r in found.values()) == 1
     links = {(r.kind, r.source, r.target) for r in python_code.edges(rows).collect()}
@@ -86,6 +86,31 @@ def test_extraction(spark):
     assert {tuple(r) for r in python_code.tested_by(rows).collect()} == {("a::f", "tests/test_a.py::test_f")}
 
 
+NESTED = """class A(B, metaclass=M):
+    def m(self, x: int = 1) -> "str":
+        def inner(*a, **k): return k
+        class Local:
+            def deep(self): return inner()
+        return inner()
+    class Sub:
+        async def n(self): pass
+    if True:
+        def late(self): pass
+def outer():
+    def m(): pass
+"""
+
+
+def test_names_and_signatures(spark):
+    """Classes name what they hold, functions don't; a signature has its dotted name, bases and what it returns."""
+    rows = python_code.symbols(python_code.extract(spark.createDataFrame([("n.py", NESTED)], "path string, content string")))
+    got = {r.qualified_name.split("::")[1]: r.signature for r in rows.where("kind <> 'File'").collect()}
+    assert got == {
+        "A": "class A(B)", "A.m": "A.m(self, x: int=1) -> 'str'", "inner": "inner(*a, **k)", "Local": "class Local", "Local.deep": "Local.deep(self)",
+        "A.Sub": "class A.Sub", "A.Sub.n": "A.Sub.n(self)", "A.late": "A.late(self)", "outer": "outer()", "m": "m()",
+    }
+
+
 @pytest.mark.parametrize(("other", "same"), [("def f( a ):\n        return a+1  # why\n", True), ("def f(a):\n\n    return (a + 1)\n", False), ("def f(a):\n    return a + 2\n", False), ("def f(b):\n    return b + 1\n", False), ("def f(a):\n    return a - 1\n", False)])
 def test_fingerprint_reads_tokens(other, same):
     assert (python_code.span_fingerprint("def f(a):\n    return a + 1\n") == python_code.span_fingerprint(other)) is same
