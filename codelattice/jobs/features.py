@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codelattice.jobs import catalogue
 from codelattice.jobs.docs import _EDGES
 from codelattice.jobs.queries import _CALLS, _NODES, SEED_FILE
-from codelattice.operators import bounded, flows, graph, history, line_diff, order, pages, resolution, search
+from codelattice.operators import bounded, evidence, flows, graph, history, line_diff, lookup, order, pages, resolution, search
 from codelattice.sources import docs as source
 from codelattice.sources import comments, java_code, projection, trees
 from codelattice.sources.storage import table
@@ -117,6 +117,22 @@ def _pages(s: SparkSession, d: str) -> DataFrame:
     return pages.render(modules.withColumn("doc", F.lit(None).cast("string")), source.main_imports(s, d), symbols, told, flow)
 
 
+def _tests_of(s: SparkSession, d: str) -> DataFrame:
+    """Tests of all symbols; a class contains the function of the next number, and tests also name what they call bare."""
+    nodes, calls = projection.nodes(s, d), projection.calls(s, d, None)
+    after = nodes.where("kind = 'Function'").select((F.col("symbol_id") - 1).alias("symbol_id"), F.col("qualified_name").alias("target"))
+    contains = nodes.where("kind = 'Class'").join(after, "symbol_id").select(F.col("qualified_name").alias("source"), "target")
+    bare = calls.where("is_bare and source_test").select(F.regexp_replace("target", "^", "K1.").alias("source"), F.col("source").alias("target"))
+    return evidence.tests_of(nodes, nodes, contains, calls, graph.tested_by(calls).union(bare))
+
+
+def _search_rows(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("symbol_id"), F.col("text").alias("doc"))
+    symbols = projection.nodes(s, d).join(docs, "symbol_id", "left").select(F.col("file_path").alias("module"), "kind", "name", "doc")
+    guides = source.pages(s, d).where("page like 'docs/fr/%'").select(F.regexp_extract("page", r"([^/]+)\.md$", 1).alias("title"), F.regexp_replace(F.regexp_replace("page", r"\.md$", ""), "/", ".").alias("slug"))
+    return pages.search_rows(_modules(s, d), symbols, guides)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tour_doors": lambda s, d: order.doors(source.main_imports(s, d)),
     "tour_reach": lambda s, d: order.door_reach(source.main_imports(s, d)),
@@ -135,6 +151,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "listing_history": lambda s, d: watch.history(_listings(s, d)),
     "doc_comments": _documented,
     "page_render": _pages,
+    "tests_of_symbols": _tests_of,
+    "site_search": _search_rows,
+    "edge_dict": lambda s, d: lookup.edge_dict(projection.edges(s, d, None, None)),
     "line_diff_tally": lambda s, d: line_diff.tallies(_line_pairs(s, d), ["doc_id"]),
 }
 
@@ -238,6 +257,19 @@ coded AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FRO
 SELECT 'd' || a.doc_id || '.c' AS path, CAST(a.i + 2 AS INTEGER) AS line_start, CASE WHEN a.x = '' THEN b.x WHEN b.x = '' THEN a.x ELSE a.x || chr(10) || b.x END AS doc
 FROM plain a JOIN plain b ON a.doc_id = b.doc_id AND b.i = a.i + 1 JOIN coded ON coded.doc_id = a.doc_id WHERE a.i % 5 = 1 AND a.i + 2 <= coded.n AND (a.x <> '' OR b.x <> '')""",
     "page_render": _PAGE,
+    "tests_of_symbols": f"""{_ALL}, bare_tests AS (SELECT 'K1.' || target AS source, source AS test FROM calls WHERE is_bare AND source_test),
+proof AS (SELECT DISTINCT target AS node, source AS test FROM calls WHERE NOT is_bare AND source_test AND NOT target_test UNION SELECT * FROM bare_tests),
+front AS (SELECT qualified_name AS root, qualified_name AS node FROM nodes UNION SELECT c.qualified_name, f.qualified_name FROM nodes c JOIN nodes f ON f.symbol_id = c.symbol_id + 1 WHERE c.kind = 'Class' AND f.kind = 'Function'),
+direct AS (SELECT root, test FROM (SELECT * FROM front UNION SELECT qualified_name, regexp_extract(qualified_name, '::(.*)$', 1) FROM nodes) JOIN proof USING (node)),
+hop AS (SELECT root, next FROM (SELECT DISTINCT root, target AS next FROM front JOIN calls ON source = node) QUALIFY row_number() OVER (PARTITION BY root ORDER BY next) <= 50),
+late AS (SELECT root, test FROM hop JOIN proof ON node = next)
+SELECT root AS qualified_name, test, min(n) > 0 AS indirect FROM (SELECT root, test, 0 AS n FROM direct UNION ALL SELECT root, test, 1 FROM late) WHERE test IN (SELECT qualified_name FROM nodes) GROUP BY root, test""",
+    "site_search": f"""WITH {_NODES}, authored AS (SELECT 'docs/' || lang || '/' || source || '/' || doc_id AS page FROM documents WHERE lang = 'fr')
+SELECT * FROM (VALUES ('page', 'Overview', '', 'index.html'), ('page', 'Architecture', '', 'architecture.html')) t(kind, name, context, href)
+UNION ALL SELECT 'guide', regexp_extract(page, '[^/]*$'), '', replace(page, '/', '.') || '.html' FROM authored
+UNION ALL SELECT DISTINCT 'module', file_path, '', {_SLUG.format("file_path")} || '.html' FROM nodes
+UNION ALL SELECT lower(kind), name, regexp_extract(file_path, '[^/]*$'), {_SLUG.format("file_path")} || '.html#' || name FROM nodes JOIN documents ON doc_id = symbol_id WHERE regexp_matches(text, '[^\\s]')""",
+    "edge_dict": f"""{catalogue._EDGES.replace("l_quantity >= 45", "true").replace("l_quantity >= 49", "true")} SELECT kind, substr(source, 1, 256) AS source, substr(target, 1, 256) AS target, split_part(source, '::', 1) AS file_path, line FROM edges""",
     "line_diff_tally": """SELECT doc_id, CAST(CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS added, CAST((n + 3) // 7 AS BIGINT) AS removed FROM (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents)""",
     "tour_doors": _MAIN + "SELECT module FROM doors",
     "tour_reach": _MAIN + "SELECT door, n_reached FROM reach",

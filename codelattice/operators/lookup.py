@@ -120,3 +120,8 @@ def dead_links(pages: DataFrame) -> DataFrame:
     links = links.withColumn("path", F.regexp_extract("href", "^(?:https?://[^/?#]+)?([^?#]*)", 1))
     site = pages.select(F.regexp_extract("url", "^https?://[^/?#]+([^?#]*)", 1).alias("path")).distinct()
     return links.join(site, "path", "left_anti").groupBy("page_id", "href").agg(F.count("*").alias("n"))
+
+
+def edge_dict(edges: DataFrame) -> DataFrame:
+    """kind, source, target, file_path, line of edges (kind, source, target, line), ends sanitized; file_path is the file that the source is in."""
+    return edges.select("kind", sanitize("source").alias("source"), sanitize("target").alias("target"), F.substring_index("source", "::", 1).alias("file_path"), "line")

@@ -84,6 +84,21 @@ def render(modules: DataFrame, edges: DataFrame, symbols: DataFrame, mentions: D
     return rows.select("module", F.concat(page_slug(F.col("module")), F.lit(".md")).alias("page"), F.left(text, F.length(text) - 1).alias("text"))
 
 
+def search_rows(modules: DataFrame, symbols: DataFrame, guides: DataFrame) -> DataFrame:
+    """kind, name, context, href of all that a site's search can jump to: the two head pages, guides (title, slug), modules (module) and symbols with words of their own (module, kind, name, doc)."""
+    spark = modules.sparkSession
+    row = lambda kind, name, context, href: [kind.alias("kind"), name.alias("name"), context.alias("context"), href.alias("href")]
+    none = F.lit("")
+    heads = spark.createDataFrame([("page", "Overview", "", "index.html"), ("page", "Architecture", "", "architecture.html")], "kind string, name string, context string, href string")
+    site = F.concat(page_slug(F.col("module")), F.lit(".html"))
+    named = symbols.where(F.trim(F.regexp_replace(F.coalesce("doc", F.lit("")), r"^\s+|\s+$", "")) != "")
+    return (
+        heads.union(guides.select(*row(F.lit("guide"), F.col("title"), none, F.concat("slug", F.lit(".html")))))
+        .union(modules.select("module").distinct().select(*row(F.lit("module"), F.col("module"), none, site)))
+        .union(named.select(*row(F.lower("kind"), F.col("name"), F.element_at(F.split("module", "/"), -1), F.concat(site, F.lit("#"), "name"))))
+    )
+
+
 def plan(want: DataFrame, disk: DataFrame) -> DataFrame:
     """page, action, text: what a run does with each wanted page (page, text) and each page on disk (page, text).
 
