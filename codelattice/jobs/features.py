@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice.jobs import catalogue
-from codelattice.jobs.docs import _EDGES
+from codelattice.jobs.docs import _EDGES, _PAGES
 from codelattice.jobs.queries import _CALLS, _NODES, SEED_FILE
-from codelattice.operators import bounded, evidence, flows, graph, history, line_diff, lookup, order, pages, resolution, search
+from codelattice.operators import bounded, evidence, flows, graph, history, line_diff, lookup, order, pages, resolution, search, snapshot
 from codelattice.sources import docs as source
-from codelattice.sources import comments, java_code, projection, trees
+from codelattice.sources import change_lists, comments, java_code, projection, trees
 from codelattice.sources.storage import table
 from codelattice.streaming import watch
 
@@ -133,6 +133,28 @@ def _search_rows(s: SparkSession, d: str) -> DataFrame:
     return pages.search_rows(_modules(s, d), symbols, guides)
 
 
+def _snapshot(s: SparkSession, d: str) -> DataFrame:
+    """Documents speak for the symbols of their number, those of the first symbol of a file for the module, and pages are pages."""
+    texts = table(s, d, "documents").select(F.col("doc_id").alias("symbol_id"), F.col("text").alias("doc"))
+    symbols = projection.nodes(s, d).join(texts, "symbol_id", "left").select(F.col("file_path").alias("module"), "symbol_id", "doc")
+    modules = symbols.groupBy("module").agg(F.min_by("doc", "symbol_id").alias("doc"))
+    written = source.pages(s, d).select(F.when(F.col("generated"), F.concat(F.lit(pages.FIRST_LINE + "\n"), "text")).otherwise(F.col("text")).alias("text"))
+    return snapshot.snapshot(modules, symbols, written)
+
+
+def _change_lists(s: SparkSession, d: str) -> DataFrame:
+    """sha, file_path out of four prints of each order's files: its first line names them bare, the second summarized, the third as a working copy, the others as renames."""
+    files = projection.nodes(s, d).select(F.col("symbol_id").alias("l_partkey"), "file_path")
+    rows = table(s, d, "lineitem").select(F.col("l_orderkey").alias("sha"), "l_partkey", "l_linenumber").join(files, "l_partkey")
+    one = lambda n: rows.where(F.col("l_linenumber") == n)
+    text = lambda r, line: r.groupBy("sha").agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    bare = change_lists.names(text(one(1), F.col("file_path")), ["sha"])
+    summed = change_lists.summaries(text(one(2), F.concat(F.lit("M       "), "file_path", F.lit("\n?       no.py"))), ["sha"])
+    copied = change_lists.working_copies(text(one(3), F.concat(F.lit("A  +    "), "file_path", F.lit("\n?       no.py\nX"))), ["sha"])
+    moved = change_lists.short_states(text(rows.where("l_linenumber > 3"), F.concat(F.lit("R  old.py -> "), "file_path")), ["sha"])
+    return change_lists.changed(["sha"], bare, summed, copied, moved)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tour_doors": lambda s, d: order.doors(source.main_imports(s, d)),
     "tour_reach": lambda s, d: order.door_reach(source.main_imports(s, d)),
@@ -151,6 +173,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "listing_history": lambda s, d: watch.history(_listings(s, d)),
     "doc_comments": _documented,
     "page_render": _pages,
+    "stats_snapshot": _snapshot,
+    "changed_file_lists": _change_lists,
+    "symbol_listings": lambda s, d: snapshot.listings(projection.nodes(s, d)),
+    "folder_ranks": lambda s, d: snapshot.folder_ranks(order.tour(_modules(s, d), source.main_imports(s, d))),
     "tests_of_symbols": _tests_of,
     "site_search": _search_rows,
     "edge_dict": lambda s, d: lookup.edge_dict(projection.edges(s, d, None, None)),
@@ -182,6 +208,7 @@ _JAVA = rf"""WITH {_NODES}, java AS (SELECT *, regexp_replace(file_path, '\.py$'
 pairs AS (SELECT symbol_id AS p, path || '::K' || symbol_id || '.' || name AS source, lead(symbol_id) OVER w AS q, lead(name) OVER w AS target, path FROM java WINDOW w AS (PARTITION BY path ORDER BY symbol_id))
 SELECT source, target, 'dep' AS receiver, CASE WHEN {{0}} THEN path || '::' || CASE WHEN q % 5 = 0 THEN 'S' || q || CASE WHEN q % 2 = 0 THEN 'Activity' ELSE '' END ELSE 'K' || q END || '.' || target END AS found FROM pairs WHERE q IS NOT NULL"""
 
+_LINES = "len(regexp_replace(regexp_replace(coalesce({0}, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), '[^\\n]', '', 'g')) + CASE WHEN regexp_matches({0}, '[^\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]$') THEN 1 ELSE 0 END"
 _SLUG = r"regexp_replace(replace({0}, '/', '.'), '\.py$', '')"
 _STEM = r"regexp_extract({0}, '([^/]+)\.py$', 1)"
 _PAGE = (
@@ -257,6 +284,15 @@ coded AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FRO
 SELECT 'd' || a.doc_id || '.c' AS path, CAST(a.i + 2 AS INTEGER) AS line_start, CASE WHEN a.x = '' THEN b.x WHEN b.x = '' THEN a.x ELSE a.x || chr(10) || b.x END AS doc
 FROM plain a JOIN plain b ON a.doc_id = b.doc_id AND b.i = a.i + 1 JOIN coded ON coded.doc_id = a.doc_id WHERE a.i % 5 = 1 AND a.i + 2 <= coded.n AND (a.x <> '' OR b.x <> '')""",
     "page_render": _PAGE,
+    "stats_snapshot": f"""WITH {_NODES}, sym AS (SELECT file_path AS module, symbol_id, text AS doc, {_LINES.format('text')} AS lines FROM nodes LEFT JOIN documents ON doc_id = symbol_id),
+f AS (SELECT module, count(*) AS n, count(*) FILTER (doc <> '') AS n_done, sum(lines) AS lines, first(doc ORDER BY symbol_id) AS doc, first(lines ORDER BY symbol_id) AS own FROM sym GROUP BY module),
+{_PAGES}
+SELECT CAST(sum(n_done) AS BIGINT) AS symbols_documented, CAST(sum(n) AS BIGINT) AS symbols_total, count(*) FILTER (doc <> '') AS modules_documented, count(*) AS modules_total, count(*) FILTER (doc <> '' AND n = n_done) AS files_documented, count(*) AS files_total,
+  CAST(sum(lines) + sum(own) AS BIGINT) AS doc_lines, (SELECT count(*) FILTER (generated) FROM authored) AS pages_generated, (SELECT count(*) FILTER (NOT generated) FROM authored) AS pages_authored,
+  (SELECT CAST(sum({_LINES.format('text')} + CASE WHEN generated THEN 1 ELSE 0 END) AS BIGINT) FROM authored) AS page_lines FROM f""",
+    "changed_file_lists": f"WITH {_NODES} SELECT DISTINCT l_orderkey AS sha, file_path FROM lineitem JOIN nodes ON symbol_id = l_partkey",
+    "symbol_listings": f"""WITH {_NODES}, placed AS (SELECT file_path, name, row_number() OVER (PARTITION BY file_path ORDER BY line_start, name) AS p FROM nodes)
+SELECT file_path, string_agg(name, ', ' ORDER BY p) FILTER (p <= 8) AS names, greatest(count(*) - 8, 0) AS n_more FROM placed GROUP BY file_path""",
     "tests_of_symbols": f"""{_ALL}, bare_tests AS (SELECT 'K1.' || target AS source, source AS test FROM calls WHERE is_bare AND source_test),
 proof AS (SELECT DISTINCT target AS node, source AS test FROM calls WHERE NOT is_bare AND source_test AND NOT target_test UNION SELECT * FROM bare_tests),
 front AS (SELECT qualified_name AS root, qualified_name AS node FROM nodes UNION SELECT c.qualified_name, f.qualified_name FROM nodes c JOIN nodes f ON f.symbol_id = c.symbol_id + 1 WHERE c.kind = 'Class' AND f.kind = 'Function'),
@@ -288,3 +324,4 @@ SELECT module, position, module IN (SELECT module FROM doors) AS is_door FROM (S
     (SELECT [min(m.module)] FROM modules m WHERE NOT list_contains(placed, m.module))) AS now FROM loop) WHERE now[1] IS NOT NULL)
 SELECT module, CAST(round AS INTEGER) AS round, row_number() OVER (ORDER BY round, module) - 1 AS position FROM (SELECT unnest(ready) AS module, level - 1 AS round FROM loop)""",
 }
+ORACLE_SQL["folder_ranks"] = f"SELECT regexp_extract(module, '^(.*)/[^/]*$', 1) AS dir, min(position) AS rank, count(*) AS n_modules FROM ({ORACLE_SQL['tour_order']}) GROUP BY 1"
