@@ -12,11 +12,11 @@ FOLDER = "^(.*)/[^/]*$"
 
 def _measures() -> list[Column]:
     done = F.count_if(F.col("doc").isNotNull())
-    return [F.count("*").alias("n"), done.alias("n_documented"), F.expr("count_if(doc is not null) * 100 div count(*)").alias("percent")]
+    return [F.count("*").alias("n"), done.alias("n_documented"), F.expr("count_if(doc is not null) * 100 div greatest(count(*), 1)").alias("percent")]
 
 
 def coverage(documented: DataFrame) -> DataFrame:
-    """documented: symbols with `doc`, null where there is none. One row of counts and the percentage, rounded down."""
+    """documented: symbols with `doc`, null where there is none. One row of counts and the percentage, rounded down; 0 without symbols."""
     return documented.agg(*_measures())
 
 
